@@ -189,7 +189,8 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     units = materialize(text_units(docs, id_col, text_col), "units")
     own = units.where(F.col("kind") != DOCUMENT)
     place = F.struct("id", "mark", "start", "size")
-    classes = own.groupBy("kind", "content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    classes = own.groupBy("kind", "content").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("bands").alias("bands"))
+    classes = classes.withColumn("n", F.when(F.col("first").eqNullSafe(F.col("last")), 1).otherwise(2)).drop("last")  # rows that repeat are one place
     classes = materialize(classes, "passages")
     paragraphs = classes.where(F.col("kind") == PARAGRAPH)
     keyed = paragraphs.select("content", "first", F.explode("bands").alias("key"))
