@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .common import mix
 MODEL = "piece_bpe_32k.model"
 SAMPLES, SHIFT = 2, 2.7
 #: Bytes of text that are walked together, and path edges of a popped state that become states one by one.
-CHUNK_BYTES, AHEAD = 6 << 20, 32
+CHUNK_BYTES, AHEAD = 1 << 20, 32
 _SPACE = "▁"
 _UNIT = re.compile(f"{_SPACE}*[^{_SPACE}\n0-9]+|{_SPACE}+|[\n0-9]")
 
@@ -134,7 +135,7 @@ class Lattice:
         self.end = np.zeros(total, bool)
         self.end[self.first + size] = True
         codes = np.frombuffer("\0".join([*units, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        nodes = np.flatnonzero(~self.end)
+        nodes = np.flatnonzero(~self.end).astype(np.int32)
         starts, stops, ids = [], [], []
         key, live = np.zeros(len(nodes), np.uint64), nodes
         covered = np.zeros(total, bool)
@@ -154,15 +155,14 @@ class Lattice:
         starts.append(bare)
         stops.append(bare + 1)
         ids.append(np.where(code < 128, pieces.byte_ids[code & 127], -1 - code))
-        start, stop, name = np.concatenate(starts), np.concatenate(stops), np.concatenate([x.astype(np.int64) for x in ids])
+        start, stop, name = (np.concatenate(x).astype(np.int32) for x in (starts, stops, ids))
         order = np.argsort(start, kind="stable")
         self.start, self.stop, self.name = start[order], stop[order], name[order]
-        log = np.empty(len(name))
-        plain = self.name >= 0
-        log[plain] = pieces.logs[self.name[plain]]
-        log[~plain] = [sum(pieces.logs[pieces.byte_ids[b]] for b in _utf8(-1 - x)) for x in self.name[~plain].tolist()]
-        self.begin = np.searchsorted(self.start, np.arange(total + 1))
-        left = np.repeat(self.first + size, size + 1) - np.arange(total)  # characters to the unit's end
+        log = pieces.logs[np.maximum(self.name, 0)]
+        for e in np.flatnonzero(self.name < 0).tolist():
+            log[e] = sum(pieces.logs[pieces.byte_ids[b]] for b in _utf8(-1 - int(self.name[e])))
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.start, minlength=total))])
+        left = np.repeat((self.first + size).astype(np.int32), size + 1) - np.arange(total, dtype=np.int32)  # characters to the unit's end
         beta = np.zeros(total)
         from_end = left[self.start]
         if len(size) and size.max() < 1 << 16:
@@ -437,20 +437,21 @@ def _sampled(path: str | None, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            ids, texts = batch.column("id"), [x or "" for x in batch.column("text").to_pylist()]
-            keys = ids.to_pylist()
+            ids, texts = batch.column("id"), batch.column("text")
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 begin, held = at, 0
-                while at < len(texts) and held < CHUNK_BYTES:
-                    held += len(texts[at])
+                while at < len(sizes) and (held == 0 or held + sizes[at] <= CHUNK_BYTES):
+                    held += sizes[at]
                     at += 1
-                part = texts[begin:at]
-                found = sample_texts(part, [row_seed(x, t.encode()) for x, t in zip(keys[begin:at], part)], pieces, k)
+                keys = ids.slice(begin, at - begin).to_pylist()
+                part = [x or "" for x in texts.slice(begin, at - begin).to_pylist()]
+                found = sample_texts(part, [row_seed(x, t.encode()) for x, t in zip(keys, part)], pieces, k)
                 for lo in range(0, len(found), 500):
                     rows = [(begin + lo + i, rank, s) for i, samples in enumerate(found[lo : lo + 500]) for rank, s in enumerate(samples, 1)]
-                    sizes = np.cumsum([0, *(len(s["ids"]) for _, _, s in rows)])
-                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([s["ids"] for _, _, s in rows]), pa.int32()))
+                    bounds = np.cumsum([0, *(len(s["ids"]) for _, _, s in rows)])
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([s["ids"] for _, _, s in rows]), pa.int32()))
                     numbers = [pa.array([s[c] for _, _, s in rows], pa.float64()) for c in ("log_p", "value", "inclusion")]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), lists, *numbers], names)
 
