@@ -15,7 +15,7 @@ def reach(edges: DataFrame, targets: DataFrame, max_depth: int = 10, stops: Data
     frontier to the edges and drops what was seen before; it is written once, so that a lost
     executor costs one level and the plan stays short.
     """
-    links = edges.select("src", "dst").distinct()
+    links = materialize(edges.select("src", "dst").distinct(), "reach-links")
     frontier = materialize(targets.select(F.col("node").alias("target"), "node", F.lit(0).alias("depth")).distinct(), "frontier")
     levels = [frontier]
     for depth in range(1, max_depth + 1):
