@@ -102,7 +102,7 @@ def best_first(target: str, edges: dict[str, list[tuple[str, float, bool]]], nod
     return sorted(hits, key=lambda h: (-h["score"], h["test_function"]))
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
+def affected_tests(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
     """Hits of each target(node). nodes(id, decorated, is_test, file); edges forward, with relation and certainty.
 
     Reachability is found level by level over all targets; only edges inside a target's reach go to

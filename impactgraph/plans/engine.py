@@ -71,10 +71,10 @@ def build_graph(index: Index, discovery: Discovery | None = None) -> tuple[DataF
     return materialize(nodes, "nodes"), materialize(edges, "edges")
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, targets: list[str], max_depth: int = 10) -> DataFrame:
+def affected_tests(nodes: DataFrame, edges: DataFrame, targets: list[str], max_depth: int = 10) -> DataFrame:
     wanted = nodes.sparkSession.createDataFrame([(t,) for t in targets], "node string")
     known = wanted.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
-    return search.blast_radius(nodes, edges, known, max_depth)
+    return search.affected_tests(nodes, edges, known, max_depth)
 
 
 def explain_test(edges: DataFrame, test: str) -> DataFrame:
@@ -102,5 +102,5 @@ def changed_symbols(index: Index, diffs: DataFrame) -> DataFrame:
 def analyze_diff(index: Index, nodes: DataFrame, edges: DataFrame, diffs: DataFrame, max_depth: int = 10) -> DataFrame:
     """Best hit of each test over all changed symbols, by one traversal for all of them."""
     targets = changed_symbols(index, diffs).withColumnRenamed("id", "node")
-    hits = search.blast_radius(nodes, edges, targets, max_depth)
+    hits = search.affected_tests(nodes, edges, targets, max_depth)
     return lookup.merge_best(hits, ["test_function"], [F.col("score").desc(), F.col("target")]).orderBy(F.col("score").desc(), "test_function")

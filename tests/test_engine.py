@@ -50,9 +50,9 @@ def test_calls_resolve_through_aliases_scopes_and_ancestors(shop):
     assert edges.where("src = 'repo' and dst = 'pkg:money' and relation = 'OWNS'").count() == 1
 
 
-def test_blast_radius_explain_suggest_and_diff(spark, shop):
+def test_affected_tests_explain_suggest_and_diff(spark, shop):
     index, nodes, edges = shop
-    hits = engine.blast_radius(nodes, edges, ["money.parse.amount", "no.such"]).collect()
+    hits = engine.affected_tests(nodes, edges, ["money.parse.amount", "no.such"]).collect()
     assert {h.test_function for h in hits} == {"tests.test_bill.test_make", "tests.test_bill.test_run"}
     chain = next(h for h in hits if h.test_function.endswith("test_make")).chain
     assert chain == ["money.parse.amount", "bill.make.inner", "bill.make", "tests.test_bill.test_make"]
@@ -84,7 +84,7 @@ def bare(spark, edges, tests):
 def test_reverse_graphs(spark, edges, depth, want):
     nodes, forward = bare(spark, edges, {"test_f", "test_h"})
     target = spark.createDataFrame([("t",)], "node string")
-    got = {h.test_function: (h.depth, h.score, h.confidence) for h in search.blast_radius(nodes, forward, target, depth).collect()}
+    got = {h.test_function: (h.depth, h.score, h.confidence) for h in search.affected_tests(nodes, forward, target, depth).collect()}
     assert got == want
 
 
