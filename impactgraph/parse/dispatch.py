@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize
-from . import python_source
-
-PARSERS: dict[str, Callable] = {".py": python_source.parse}
+from . import brace_source, python_source
+
+PARSERS: dict[str, Callable] = {
+    ".py": python_source.parse,
+    ".ts": brace_source.parse_typescript,
+    ".tsx": brace_source.parse_typescript,
+    ".js": brace_source.parse_javascript,
+    ".jsx": brace_source.parse_javascript,
+    ".mjs": brace_source.parse_javascript,
+    ".cjs": brace_source.parse_javascript,
+    ".go": brace_source.parse_go,
+    ".java": brace_source.parse_java,
+    ".rs": brace_source.parse_rust,
+}
 
 _SYMBOL = (
     "struct<unique_id:string,module:string,filepath:string,class_name:string,function_name:string,decorators:array<string>,line_no:int,col_offset:int,"

@@ -28,7 +28,16 @@ def index_repository(spark: SparkSession, root: str, exclude: list[str] | None =
     content = files.contents(listed)
     modules = materialize(files.modules(listed.select(F.col("path").alias("rel_path")), roots), "modules")
     parsed = parse_files(content, modules)
-    return Index(materialize(parsed["symbols"], "symbols"), parsed["imports"], parsed["import_meta"], modules, files.snapshot(listed))
+    symbols = materialize(parsed["symbols"], "symbols")
+    return Index(symbols, parsed["imports"], parsed["import_meta"], materialize(named_modules(modules, symbols), "modules"), files.snapshot(listed))
+
+
+def named_modules(modules: DataFrame, symbols: DataFrame) -> DataFrame:
+    """modules with the names that the files themselves give, where a package clause overrules the path."""
+    told = symbols.groupBy("filepath").agg(F.min("module").alias("told"))
+    kept = modules.join(told, "filepath", "left").withColumn("own", F.coalesce("told", "module"))
+    package = F.when(F.col("own") == F.col("module"), F.col("package")).otherwise(F.regexp_replace("own", r"[.]?[^.]*$", ""))
+    return kept.select("filepath", F.col("own").alias("module"), package.alias("package"), *[c for c in modules.columns if c not in ("filepath", "module", "package")])
 
 
 def summary(index: Index) -> DataFrame:
