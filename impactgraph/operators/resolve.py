@@ -89,11 +89,74 @@ def call_sites(symbols: DataFrame) -> DataFrame:
     return sites.select("caller", "file", "module", cls.alias("cls"), F.col("call_ord").alias("ord"), "call", head.alias("head"), rest.alias("rest"), F.element_at("local_types", head).alias("type"))
 
 
-def resolve_calls(symbols: DataFrame, imports: DataFrame, cap: int = 8) -> DataFrame:
-    """(caller, dst, certainty, ord): each call's symbols by the first rule that fires; targets must be known symbols."""
-    sites = materialize(call_sites(symbols), "sites")
+def star_excludes(meta: DataFrame, modules: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file, call): public names of wildcard-imported modules that the module's own list leaves out."""
+    where = modules.select("module", F.col("filepath").alias("of_file"))
+    listed = meta.where("all_names is not null").join(where, F.col("file") == F.col("of_file")).select("module", "all_names")
+    own = symbols.where("visibility = 'public' and class_name is null and parent_id is null").select("module", last_part(F.col("unique_id")).alias("call"))
+    left_out = own.join(listed, "module").where(~F.array_contains("all_names", F.col("call"))).select("module", "call")
+    return meta.select("file", F.explode("wildcards").alias("module")).join(left_out, "module").select("file", "call").distinct()
+
+
+def lexical_scopes(symbols: DataFrame, sites: DataFrame, max_climb: int = 5) -> DataFrame:
+    """(caller, ord, call, climb, target, certainty) of plain calls to what a function, or one around it, defines.
+
+    Names declared global go to the module and climb no further; those declared nonlocal start at
+    the parent. What the caller itself defines is surer than what is around it.
+    """
+    inner = symbols.where("kind in ('function', 'method')").select(F.col("unique_id").alias("caller"), F.coalesce("globals", F.array()).alias("globals"), F.coalesce("nonlocals", F.array()).alias("nonlocals"))
+    plain = sites.where("rest is null").select("caller", "module", "ord", "call").join(inner, "caller")
+    of_module = symbols.where("class_name is null and parent_id is null").select(F.col("unique_id").alias("target"))
+    is_global = F.array_contains("globals", F.col("call"))
+    told = plain.where(is_global).withColumn("target", F.concat_ws(".", "module", "call")).join(of_module, "target", "left_semi")
+    told = told.select("caller", "ord", "call", F.lit(0).alias("climb"), "target", F.lit(0.95).alias("certainty"))
+    nested = symbols.where("parent_id is not null").select(F.col("parent_id").alias("scope"), last_part(F.col("unique_id")).alias("call"), F.col("unique_id").alias("target"))
+    up = symbols.where("parent_id is not null").select(F.col("unique_id").alias("scope"), "parent_id")
+    level = plain.where(~is_global).select("caller", "ord", "call", F.array_contains("nonlocals", F.col("call")).alias("skip"), F.col("caller").alias("scope"))
+    for climb in range(max_climb + 1):
+        hit = level.where(F.lit(climb > 0) | ~F.col("skip")).join(nested, ["scope", "call"])
+        told = told.unionByName(hit.select("caller", "ord", "call", F.lit(climb).alias("climb"), "target", F.lit(0.98 if climb == 0 else 0.95).alias("certainty")))
+        level = level.join(up, "scope").select("caller", "ord", "call", "skip", F.col("parent_id").alias("scope"))
+    return told
+
+
+# What a queued task is called by.
+TASK_SUFFIXES = ["delay", "apply_async", "apply", "signature", "s", "si"]
+
+
+def task_sites(sites: DataFrame) -> DataFrame:
+    """Sites for the names before a task suffix: 'a.b.delay' asks for 'a.b', under the same caller and place."""
+    base = F.expr("substring(call, 1, length(call) - length(substring_index(call, '.', -1)) - 1)")
+    told = sites.where("rest is not null").where(last_part(F.col("call")).isin(TASK_SUFFIXES)).withColumn("call", base)
+    rest = F.when(F.col("call").contains("."), F.expr("substring(call, instr(call, '.') + 1)"))
+    return told.withColumn("head", F.element_at(F.split("call", "[.]"), 1)).withColumn("rest", rest).withColumn("type", F.when(F.col("rest").isNotNull(), F.col("type")))
+
+
+def resolve_calls(symbols: DataFrame, imports: DataFrame, cap: int = 8, excludes: DataFrame | None = None) -> DataFrame:
+    """(src, dst, certainty, ord): each call's symbols by the first rule that fires; targets must be known symbols.
+
+    A call that ends in a task suffix goes to what its base resolves to, if anything: to those
+    decorated as tasks (0.95), or to all where none is (0.90). excludes(file, call) stops plain
+    names from being looked up by their bare name.
+    """
+    sites = call_sites(symbols)
+    sites = materialize(sites.withColumn("task", F.lit(False)).unionByName(task_sites(sites).withColumn("task", F.lit(True))), "sites")
+    asked = _cascade(sites, symbols, imports, cap, excludes)
+    tags = symbols.select(F.col("unique_id").alias("target"), F.exists(F.coalesce("decorators", F.array()), lambda d: F.lower(d).contains("task")).alias("tagged"))
+    queued = asked.where("task").join(tags, "target", "left").withColumn("tagged", F.coalesce("tagged", F.lit(False)))
+    place = Window.partitionBy("caller", "ord")
+    queued = queued.withColumn("any", F.max("tagged").over(place)).where("tagged or not any")
+    queued = queued.select("caller", "ord", "target", F.when(F.col("tagged"), 0.95).otherwise(0.90).alias("certainty"))
+    plain = asked.where("not task").join(queued.select("caller", "ord").distinct(), ["caller", "ord"], "left_anti")
+    chosen = plain.select("caller", "ord", "target", "certainty").unionByName(queued)
+    once = Window.partitionBy("caller", "target").orderBy("ord", F.col("certainty").desc())
+    return chosen.withColumn("n", F.row_number().over(once)).where("n = 1").select(F.col("caller").alias("src"), F.col("target").alias("dst"), "certainty", "ord")
+
+
+def _cascade(sites: DataFrame, symbols: DataFrame, imports: DataFrame, cap: int, excludes: DataFrame | None) -> DataFrame:
+    """(caller, ord, call, task, target, certainty) by the first rule that fires for each site."""
     ids = symbols.select(F.col("unique_id").alias("target"))
-    site = ["caller", "ord", "call"]
+    site = ["caller", "ord", "call", "task"]
     bases = materialize(base_links(symbols, imports), "bases")
     methods = materialize(methods_of(ancestors(bases, symbols), symbols), "methods")
 
@@ -101,14 +164,7 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, cap: int = 8) -> DataF
         return rows.select(*site, F.lit(prio).alias("prio"), F.lit(sure).alias("certainty"), (F.col(target) if isinstance(target, str) else target).alias("target"))
 
     plain, compound = sites.where("rest is null"), sites.where("rest is not null")
-    nested = symbols.where("parent_id is not null").select(F.col("parent_id").alias("scope"), last_part(F.col("unique_id")).alias("call"), F.col("unique_id").alias("target"))
-    up = symbols.where("parent_id is not null").select(F.col("unique_id").alias("inner"), "parent_id")
-    scopes = sites.select("caller").distinct().select("caller", F.col("caller").alias("scope"), F.lit(0).alias("climb"))
-    level = scopes
-    for climb in range(1, 6):
-        level = level.drop("climb").join(up, F.col("scope") == F.col("inner")).select("caller", F.col("parent_id").alias("scope"), F.lit(climb).alias("climb"))
-        scopes = scopes.unionByName(level)
-    lexical = plain.join(scopes, "caller").join(nested, ["scope", "call"])
+    lexical = lexical_scopes(symbols, sites).withColumn("task", F.explode(F.array(F.lit(False), F.lit(True)))).join(plain.select(*site), site, "left_semi")
     typed = compound.where("type is not null")
     types = resolve_type(typed.select("file", "module", F.col("type").alias("name")).distinct(), imports, symbols)
     typed = typed.join(types.withColumnRenamed("name", "type"), ["file", "module", "type"], "left").join(methods.select(F.col("cls").alias("class_id"), F.col("method").alias("rest"), "target"), ["class_id", "rest"], "left")
@@ -122,7 +178,7 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, cap: int = 8) -> DataF
     bare = sites.withColumn("name", last_part(F.col("call"))).join(symbols.select(last_part(F.col("unique_id")).alias("name"), F.col("unique_id").alias("target")), "name")
     bare = capped(accessible(bare.select(*site, "file", "module", "target"), imports), site, cap)
     rules = [
-        rule(lexical, 20, 0.95).withColumn("certainty", F.lit(0.95)),
+        lexical.select(*site, (F.col("climb") + 20).alias("prio"), "certainty", "target"),
         rule(typed, 40, 0.85),
         rule(imported, 50, 1.0, F.concat_ws(".", "fqn", "rest")),
         rule(own, 60, 0.95),
@@ -135,6 +191,6 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, cap: int = 8) -> DataF
     found = rules[0]
     for r in rules[1:]:
         found = found.unionByName(r)
-    chosen = first_rule(found.distinct(), site).join(ids, "target", "left_semi")
-    once = Window.partitionBy("caller", "target").orderBy("ord")
-    return chosen.withColumn("n", F.row_number().over(once)).where("n = 1").select(F.col("caller").alias("src"), F.col("target").alias("dst"), "certainty", "ord")
+    if excludes is not None:
+        found = found.unionByName(rule(plain.join(excludes, ["file", "call"], "left_semi"), 100, 1.0, F.lit(None).cast("string")))
+    return first_rule(found.distinct(), site).join(ids, "target", "left_semi").select(*site, "target", "certainty")

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import Discovery
-from ..operators import graph, lookup, reach, resolve, search
+from ..functions.names import Discovery, last_part
+from ..operators import graph, lookup, resolve, search
 from ..parse.dispatch import parse_files
 from ..shared import materialize
 from ..sources import diff_text, files
@@ -50,7 +50,7 @@ def build_graph(index: Index, discovery: Discovery | None = None) -> tuple[DataF
     discovery = discovery or Discovery()
     symbols, empty = index.symbols, lambda t: F.lit(None).cast(t)
     imports = resolve.close_imports(index.imports, index.import_meta, index.modules, symbols)
-    calls = resolve.resolve_calls(symbols, imports)
+    calls = resolve.resolve_calls(symbols, imports, excludes=resolve.star_excludes(index.import_meta, index.modules, symbols))
     of = symbols.select("unique_id", F.concat_ws(".", "module", "class_name").alias("full_class"), "class_name")
     pair = calls.join(of.select(F.col("unique_id").alias("src"), F.col("full_class").alias("a"), F.col("class_name").alias("ac")), "src").join(of.select(F.col("unique_id").alias("dst"), F.col("full_class").alias("b"), F.col("class_name").alias("bc")), "dst")
     crossing = F.col("ac").isNotNull() & F.col("bc").isNotNull() & (F.col("a") != F.col("b"))
@@ -91,15 +91,42 @@ def explain_test(edges: DataFrame, test: str) -> DataFrame:
     return graph.collapse_parallel(edges.where(F.col("src") == test)).select(F.col("dst").alias("target"), F.col("certainty").alias("cert"), F.col("inheritance").alias("inherited"))
 
 
-def suggest_files(nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
-    """(file, priority, kind) to look at after a change: 1 direct callers, 2 transitive ones, 3 transitive tests."""
-    back = graph.reverse(graph.collapse_parallel(edges))
-    found = reach.reach(back, nodes.sparkSession.createDataFrame([(target,)], "node string"), 64).where("depth > 0")
-    met = found.join(nodes.select(F.col("id").alias("node"), "file", "is_test"), "node").where("file is not null")
-    prio = F.when(F.col("is_test") & (F.col("depth") > 1), 3).when(F.col("depth") == 1, 1).otherwise(2)
+def suggest_files(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 64) -> DataFrame:
+    """(file, priority, kind, reason) to look at after a change: 1 direct callers, 2 transitive ones, 3 tests.
+
+    Callers are walked level by level up to tests, each node by its first way: via is the first
+    step of that way, below the last one before the node.
+    """
+    back = materialize(graph.reverse(graph.collapse_parallel(edges)).select("src", "dst").distinct(), "callers")
+    facts = nodes.select("id", "file", "is_test")
+    none = F.lit(None).cast("string")
+    level = nodes.sparkSession.createDataFrame([(target,)], "id string").select("id", none.alias("via"), none.alias("below"), F.lit(0).alias("depth"))
+    levels = [level]
+    for depth in range(1, max_depth + 1):
+        going = level if depth == 1 else level.join(facts.where("is_test").select("id"), "id", "left_anti")
+        step = going.join(back, going["id"] == back["src"]).select(F.col("dst").alias("id"), F.coalesce("via", "dst").alias("via"), F.col("src").alias("below"), F.lit(depth).alias("depth"))
+        for seen in levels:
+            step = step.join(seen.select("id"), "id", "left_anti")
+        level = materialize(lookup.merge_best(step, ["id"], [F.col("below"), F.col("via")]), "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = levels[0].limit(0)
+    for x in levels[1:]:
+        found = found.unionByName(x)
+    met = found.join(facts, "id").where("file is not null")
+    prio = F.when(F.col("is_test"), 3).when(F.col("depth") == 1, 1).otherwise(2)
+    goal, direct = F.lit(short_name(target)), F.col("depth") == 1
+    tests = F.when(direct, F.concat(F.lit("tests "), goal, F.lit(" directly"))).otherwise(F.concat(F.lit("tests "), last_part(F.col("below")), F.lit(" which calls "), goal))
+    calls = F.when(direct, F.concat(F.lit("calls "), goal, F.lit(" directly"))).otherwise(F.concat(F.lit("calls "), goal, F.lit(" via "), last_part(F.col("via"))))
+    told = met.withColumn("priority", prio).withColumn("reason", F.when(F.col("is_test"), tests).otherwise(calls))
     named = F.when(F.col("priority") == 1, "direct_caller").when(F.col("priority") == 2, "transitive_caller").otherwise("transitive_test")
-    best = lookup.merge_best(met.withColumn("priority", prio), ["file"], [F.col("priority"), F.col("depth"), F.col("node")])
-    return best.select("file", "priority", named.alias("kind")).orderBy("priority", "file")
+    best = lookup.merge_best(told, ["file"], [F.col("priority"), F.col("depth"), F.col("id")])
+    return best.select("file", "priority", named.alias("kind"), "reason").orderBy("priority", "file")
+
+
+def short_name(target: str) -> str:
+    return target.rpartition(":")[2] if ":" in target else target.rpartition(".")[2]
 
 
 def changed_symbols(index: Index, diffs: DataFrame) -> DataFrame:

@@ -103,3 +103,21 @@ def test_search_reaches_what_plain_reachability_does():
                     seen.add(to)
                     queue.append(to)
         assert {h["test_function"] for h in search.best_first("n0", edges, nodes, 20)} == (seen & tests) - {"n0"}
+
+
+def test_scopes_tasks_and_star_excludes(spark, tmp_path):
+    files = {
+        "jobs.py": "from app import task\n\n\n@task\ndef send(x):\n    pass\n\n\ndef plain(x):\n    pass\n",
+        "app.py": "def task(f):\n    return f\n",
+        "run.py": "import jobs\nfrom jobs import send\n\n\ndef go():\n    send.delay(1)\n    jobs.plain.apply_async()\n",
+        "scope.py": "def outer():\n    def helper():\n        pass\n    def inner():\n        helper()\n    helper()\n    inner()\n\n\ndef helper():\n    pass\n\n\ndef other():\n    def helper():\n        pass\n    def use():\n        global helper\n        helper()\n    use()\n",
+        "wide.py": "__all__ = ['seen']\n\n\ndef seen():\n    pass\n\n\ndef hidden():\n    pass\n",
+        "star.py": "from wide import *\n\n\ndef f():\n    seen()\n    hidden()\n",
+    }
+    index = engine.index_repository(spark, write(tmp_path, files))
+    _, edges = engine.build_graph(index)
+    got = {(r.src, r.dst): r.certainty for r in edges.where("relation = 'CALLS'").collect()}
+    assert got["run.go", "jobs.send"] == 0.95 and got["run.go", "jobs.plain"] == 0.90
+    assert got["scope.outer", "scope.outer.helper"] == 0.98 and got["scope.outer.inner", "scope.outer.helper"] == 0.95
+    assert got["scope.other.use", "scope.helper"] == 0.95 and ("scope.other.use", "scope.other.helper") not in got
+    assert got["star.f", "wide.seen"] == 1.0 and ("star.f", "wide.hidden") not in got
