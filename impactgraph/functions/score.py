@@ -12,6 +12,22 @@ SYMBOL_CERTAINTIES = (0.98, 0.95, 0.90, 0.85)
 AMBIGUOUS_CERTAINTY = 0.60
 HIGH, MEDIUM = 0.85, 0.55
 
+# What is said of each factor, in brief and in full, in the order of the factors.
+TEXTS = {
+    "direct": ("direct invocation", "The target is directly invoked by the test."),
+    "hops": ("{depth}-hop depth", "Traversed a transitive path of {depth} hops (depth penalty: ×{factor:.2f})."),
+    "dynamic": ("dynamic dispatch", "Traversed one or more dynamic call sites (getattr, eval, partial, exec, or runtime dispatch)."),
+    "inherited": ("class inheritance", "Resolved method call via class hierarchy MRO traversal."),
+    "symbols": ("weak symbol resolution", "Traversed symbols resolved via local annotations or inferences (average: {factor:.2f})."),
+    "ambiguous": ("ambiguous resolution", "Encountered name-based resolution fallback due to multiple matching symbols in the codebase."),
+    "edge": ("edge certainty {percent}%", "Traversed at least one edge with low resolution certainty ({percent}%)."),
+    "decorated": ("decorated hop", "Traversed decorated function wrappers in the call path."),
+    "fan_out": ("{level} fan-out ({fan_out})", "Encountered {level} branch ambiguity with {fan_out} call targets."),
+}
+FAN_OUT_LEVELS = {10: "very high", 6: "high", 3: "moderate"}
+SUMMARIES = ("Direct invocation from the test node (factors: {reason}).", "Transitive path of depth {depth} (factors: {reason}).")
+WEAK_SYMBOLS = 0.90
+
 
 def fan_out_factor(fan_out: Column) -> Column:
     out = F.lit(1.0)

@@ -70,6 +70,42 @@ def ancestors(bases: DataFrame, symbols: DataFrame, max_rounds: int = 32) -> Dat
     return out
 
 
+def c3(cls: str, parents: dict[str, list[str]], known: dict[str, list[str]] | None = None) -> list[str]:
+    """The C3 order of a class and its ancestors. A class met again below itself stands alone; where no head is free the first is taken."""
+    known = {} if known is None else known
+    if cls in known:
+        return known[cls]
+    known[cls] = [cls]
+    above = parents.get(cls, [])
+    rows = [*(c3(p, parents, known) for p in above), list(above)]
+    out = [cls]
+    while rows := [r for r in rows if r]:
+        tails = {x for r in rows for x in r[1:]}
+        pick = next((r[0] for r in rows if r[0] not in tails), rows[0][0])
+        rows = [[x for x in r if x != pick] for r in rows]
+        if pick not in out:
+            out.append(pick)
+    known[cls] = out
+    return out
+
+
+def linearize(bases: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(cls, ancestor, pos): every class's ancestors in C3 order, itself at 0. A group is the lattice above one class."""
+    import pandas as pd
+
+    links = ancestors(bases, symbols).join(bases.select(F.col("cls").alias("ancestor"), "base", F.col("pos").alias("nth")), "ancestor", "left")
+
+    def order(group: pd.DataFrame) -> pd.DataFrame:
+        parents: dict[str, list[str]] = {}
+        for r in group.sort_values(["ancestor", "nth"]).itertuples(index=False):
+            if isinstance(r.base, str):
+                parents.setdefault(r.ancestor, []).append(r.base)
+        found = c3(group["cls"].iloc[0], parents)
+        return pd.DataFrame({"cls": found[0], "ancestor": found, "pos": range(len(found))})
+
+    return links.select("cls", "ancestor", "base", "nth").groupBy("cls").applyInPandas(order, "cls string, ancestor string, pos int")
+
+
 def methods_of(mro: DataFrame, symbols: DataFrame) -> DataFrame:
     """(cls, method, target): what a class answers by; nearer owners hide farther ones, equals all count."""
     own = symbols.where("kind = 'method' and parent_id is null").select(F.concat_ws(".", "module", "class_name").alias("ancestor"), F.col("function_name").alias("method"), F.col("unique_id").alias("target"))

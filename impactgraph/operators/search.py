@@ -17,37 +17,41 @@ from ..schemas import HITS
 from . import graph, reach
 
 
-def path_score(depth: int, state: dict) -> tuple[float, list[str]]:
-    """The rounded product of all factors and the reasons that lowered it."""
-    value, why = 1.0, []
-    if depth >= 2:
-        value *= S.DEPTH ** (depth - 1)
-        why.append(f"indirect call over {depth} steps")
-    else:
-        why.append("direct call")
+def factors(depth: int, state: dict) -> list[tuple[str, float, dict]]:
+    """(name, factor, values for its text) of all that bears on a path's score, in order."""
+    found: list[tuple[str, float, dict]] = [("hops", S.DEPTH ** (depth - 1), {"depth": depth}) if depth >= 2 else ("direct", 1.0, {})]
     if state["dynamic"]:
-        value *= S.DYNAMIC
-        why.append("dynamic dispatch")
+        found.append(("dynamic", S.DYNAMIC, {}))
     if state["inherited"]:
-        value *= S.INHERITANCE
-        why.append("class inheritance")
+        found.append(("inherited", S.INHERITANCE, {}))
     if state["count"]:
-        value *= state["sum"] / state["count"]
+        found.append(("symbols", state["sum"] / state["count"], {}))
     if state["ambiguous"]:
-        value *= S.AMBIGUOUS
-        why.append("ambiguous name")
+        found.append(("ambiguous", S.AMBIGUOUS, {}))
     if state["least"] < 1:
-        value *= state["least"]
-        why.append(f"least certain edge {int(state['least'] * 100)}%")
+        found.append(("edge", state["least"], {"percent": int(state["least"] * 100)}))
     if state["decorated"]:
-        value *= S.DECORATED
-        why.append("decorated function")
-    for least, factor in S.FAN_OUT:
-        if state["fan_out"] >= least:
-            value *= factor
-            why.append(f"fan-out {state['fan_out']}")
-            break
-    return round(max(0.0, min(1.0, value)), 4), why
+        found.append(("decorated", S.DECORATED, {}))
+    met = next(((least, factor) for least, factor in S.FAN_OUT if state["fan_out"] >= least), None)
+    if met:
+        found.append(("fan_out", met[1], {"level": S.FAN_OUT_LEVELS[met[0]], "fan_out": state["fan_out"]}))
+    return found
+
+
+def path_score(depth: int, state: dict) -> float:
+    """The rounded product of all factors."""
+    value = 1.0
+    for _, factor, _ in factors(depth, state):
+        value *= factor
+    return max(0.0, min(1.0, round(value, 4)))
+
+
+def told(depth: int, state: dict) -> tuple[str, str, str]:
+    """(summary, reason, details) of a path; symbol certainties are only spoken of where they are weak."""
+    said = [(*S.TEXTS[name], factor, values) for name, factor, values in factors(depth, state) if name != "symbols" or factor < S.WEAK_SYMBOLS]
+    reason = ", ".join(brief.format(factor=factor, **values) for brief, _, factor, values in said)
+    details = " ".join(full.format(factor=factor, **values) for _, full, factor, values in said)
+    return S.SUMMARIES[depth >= 2].format(depth=depth, reason=reason), reason, details
 
 
 def label(value: float) -> str:
@@ -76,8 +80,9 @@ def best_first(target: str, edges: dict[str, list[tuple[str, float, bool]]], nod
             continue
         state = states[key]
         if node != target and at(node)["is_test"]:
-            value, why = path_score(depth, state)
-            hits.append({"target": target, "test_function": node, "test_file": at(node)["file"], "chain": list(chain), "depth": depth, "confidence": label(value), "score": value, "explanation": "; ".join(why), "reason": why[-1], "resolution_explanation": f"chain of {len(chain)} nodes"})
+            value = path_score(depth, state)
+            summary, reason, details = told(depth, state)
+            hits.append({"target": target, "test_function": node, "test_file": at(node)["file"], "chain": list(chain), "depth": depth, "confidence": label(value), "score": value, "explanation": summary, "reason": reason, "resolution_explanation": details})
             continue
         for after, sure, inherited in edges.get(node, ()):
             if after in settled:
@@ -94,7 +99,7 @@ def best_first(target: str, edges: dict[str, list[tuple[str, float, bool]]], nod
                 "decorated": state["decorated"] or x["decorated"],
                 "fan_out": max(state["fan_out"], x["fan_out"]),
             }
-            value, _ = path_score(depth + 1, new)
+            value = path_score(depth + 1, new)
             if value >= best.get(after, -1.0):
                 best[after] = value
                 states.append(new)

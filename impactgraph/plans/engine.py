@@ -24,12 +24,19 @@ class Index:
 
 
 def index_repository(spark: SparkSession, root: str, exclude: list[str] | None = None, roots: list[str] | None = None) -> Index:
+    """The index of a source tree; driver and executors must see it under the same path."""
     listed = files.listing(spark, root, exclude)
-    content = files.contents(listed)
-    modules = materialize(files.modules(listed.select(F.col("path").alias("rel_path")), roots), "modules")
+    return index_files(files.contents(listed), listed.select(F.col("path").alias("rel_path")), roots, files.snapshot(listed))
+
+
+def index_files(content: DataFrame, paths: DataFrame | None = None, roots: list[str] | None = None, snapshot: DataFrame | None = None) -> Index:
+    """The index of content(rel_path, content), which may be any table of source files."""
+    modules = materialize(files.modules(content.select("rel_path") if paths is None else paths, roots), "modules")
     parsed = parse_files(content, modules)
     symbols = materialize(parsed["symbols"], "symbols")
-    return Index(symbols, parsed["imports"], parsed["import_meta"], materialize(named_modules(modules, symbols), "modules"), files.snapshot(listed))
+    if snapshot is None:
+        snapshot = modules.select(F.col("filepath").alias("path"), F.lit(None).cast("double").alias("mtime"))
+    return Index(symbols, parsed["imports"], parsed["import_meta"], materialize(named_modules(modules, symbols), "modules"), snapshot)
 
 
 def named_modules(modules: DataFrame, symbols: DataFrame) -> DataFrame:

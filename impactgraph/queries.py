@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, score
-from .operators import delta, graph, lookup, reach
+from .operators import delta, graph, lookup, reach, resolve, search
+from .plans import engine
 from .sources.diff_text import changed_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,3 +514,51 @@ def graph_metrics(spark, d):
 @query("""SELECT event_id, '{"func":"' || event_type || '","user":' || user_id || '}' AS compact FROM events""")
 def json_compact(spark, d):
     return t(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("func"), F.col("user_id").alias("user"))).alias("compact"))
+
+
+# Class lattices: (class, bases in order), and the order that is due.
+LATTICES = {
+    "Base": ([], ["Base"]),
+    "Left": (["Base"], ["Left", "Base"]),
+    "Right": (["Base"], ["Right", "Base"]),
+    "Joint": (["Left", "Right"], ["Joint", "Left", "Right", "Base"]),
+    "Leaf": (["Joint", "Right"], ["Leaf", "Joint", "Left", "Right", "Base"]),
+    "Clash": (["Base", "Left"], ["Clash", "Base", "Left"]),
+    "Ring": (["Ring"], ["Ring"]),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{a}', {i}::INTEGER)" for c, (_, due) in LATTICES.items() for i, a in enumerate(due)) + ") AS v(cls, ancestor, pos)")
+def c3_mro(spark, d):
+    classes = spark.createDataFrame([(c, "class") for c in LATTICES], "unique_id string, kind string")
+    bases = spark.createDataFrame([(c, b, i) for c, (above, _) in LATTICES.items() for i, b in enumerate(above)], "cls string, base string, pos int")
+    return resolve.linearize(bases, classes)
+
+
+@query(None)
+def impact_exact(spark, d):
+    """Best-first search from every part over the call graph order -> part, customer -> order; BUILDING customers are the tests."""
+    orders = t(spark, d, "orders").select(node_id("customer", "o_custkey").alias("src"), node_id("order", "o_orderkey").alias("dst"), F.lit("CALLS").alias("relation"), F.lit(1.0).alias("certainty"), F.lit(False).alias("inheritance"), F.lit(0).alias("ord"))
+    edges = call_edges(spark, d).unionByName(orders)
+    test = t(spark, d, "customer").select(node_id("customer", "c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").alias("is_test"))
+    plain = [t(spark, d, name).select(node_id(kind, key).alias("id"), F.lit(False).alias("is_test")) for name, kind, key in (("orders", "order", "o_orderkey"), ("part", "part", "p_partkey"))]
+    nodes = test.unionByName(plain[0]).unionByName(plain[1]).select("id", F.lit(False).alias("decorated"), "is_test", F.lit(None).cast("string").alias("file"))
+    targets = t(spark, d, "part").select(node_id("part", "p_partkey").alias("node"))
+    found = search.affected_tests(nodes, edges, targets)
+    return found.select("target", "test_function", "depth", "confidence", "score", "reason", F.array_join("chain", " ").alias("chain"))
+
+
+@query("""SELECT DISTINCT 'orders.o' || l_orderkey || '.run' AS src, 'parts.m' || (l_partkey // 100) || '.p' || l_partkey AS dst, 1.0::DOUBLE AS certainty
+    FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)""")
+def file_index_e2e(spark, d):
+    """Orders as source files that import and call their parts' functions: parsed, resolved, and drawn as edges."""
+    part = F.col("l_partkey").cast("string")
+    pair = t(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey"), F.concat(F.lit("from parts.m"), F.floor(F.col("l_partkey") / 100).cast("string"), F.lit(" import p"), part).alias("line"), F.concat(F.lit("    p"), part, F.lit("()")).alias("call"))
+    text = F.concat(F.array_join(F.collect_set("line"), "\n"), F.lit("\n\n\ndef run():\n"), F.array_join(F.collect_list("call"), "\n"), F.lit("\n"))
+    callers = pair.groupBy("l_orderkey").agg(text.alias("content")).select(F.concat(F.lit("orders/o"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("rel_path"), "content")
+    key = F.col("p_partkey").cast("string")
+    defs = t(spark, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("m"), F.concat(F.lit("def p"), key, F.lit("():\n    pass\n")).alias("text"))
+    called = defs.groupBy("m").agg(F.array_join(F.collect_list("text"), "\n\n").alias("content")).select(F.concat(F.lit("parts/m"), F.col("m").cast("string"), F.lit(".py")).alias("rel_path"), "content")
+    index = engine.index_files(callers.unionByName(called))
+    imports = resolve.close_imports(index.imports, index.import_meta, index.modules, index.symbols)
+    return resolve.resolve_calls(index.symbols, imports).select("src", "dst", "certainty")
