@@ -25,7 +25,8 @@ from .common import columns_as_bytes, materialize, mix, runs
 from .decontam import merged
 
 LENGTH, GRAM, SHALLOW, STEP = 400, 32, 64, 8
-#: Contexts of one gram that one task takes; more are dealt out by the quarter of a window they share.
+#: Contexts of one gram that one task takes; more are dealt out by the quarter of a window they share,
+#: and of those that share it, more than this many by their windows themselves.
 CHUNK = 4096
 _PIECE = 1 << 20
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
@@ -220,30 +221,66 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(begin, at - begin), pa.array(marks, pa.binary()), places], ["id", "mark", "anchors"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(chunk: int):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     names = ("h", "key", "c", "quarter", "left", "right")
-    for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for data, places in zip(columns_as_bytes(batch, "text"), batch.column("places").to_pylist()):
-            for x in places:
-                a, p, b = x["a"], x["p"], x["b"]
-                left, right = data[a:p], data[p : b + LENGTH]
-                if x["n"] <= CHUNK:
-                    rows.append((x["h"], x["h"], x["c"], -1, left, right))
-                else:
-                    quarter = LENGTH // 4
-                    for j in range(max(0, p - b) // quarter, min(3, (p - a) // quarter) + 1):
-                        core = data[max(a, p - j * quarter) : p - j * quarter + LENGTH - quarter]
-                        key = np.uint64(xxhash.xxh3_64_intdigest(core, j + 1)).view(np.int64)
-                        rows.append((x["h"], int(key), x["c"], j, left, right))
-                held += len(left) + len(right)
-            if held > 16 << 20:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for data, places in zip(columns_as_bytes(batch, "text"), batch.column("places").to_pylist()):
+                for x in places:
+                    a, p, b = x["a"], x["p"], x["b"]
+                    left, right = data[a:p], data[p : b + LENGTH]
+                    if x["n"] <= chunk:
+                        rows.append((x["h"], x["h"], x["c"], -1, left, right))
+                    else:
+                        quarter = LENGTH // 4
+                        for j in range(max(0, p - b) // quarter, min(3, (p - a) // quarter) + 1):
+                            core = data[max(a, p - j * quarter) : p - j * quarter + LENGTH - quarter]
+                            key = np.uint64(xxhash.xxh3_64_intdigest(core, j + 1)).view(np.int64)
+                            rows.append((x["h"], int(key), x["c"], j, left, right))
+                    held += len(left) + len(right)
+                if held > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows, held = [], 0
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    return run
+
+
+def offsets_of(quarter: int) -> tuple[int, int]:
+    """The least and the largest offset of windows that a group answers for; -1 is a gram's whole group."""
+    part = LENGTH // 4
+    return (0, LENGTH) if quarter < 0 else (quarter * part, LENGTH if quarter == 3 else (quarter + 1) * part - 1)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c, low, w) for each window of contexts in a vast group: w is the window's 128-bit hash."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            rows = []
+            for r in batch.slice(at, 2000).to_pylist():
+                low, high = offsets_of(r["quarter"])
+                whole, left, right = r["left"] + r["right"], len(r["left"]), len(r["right"])
+                for d in range(max(low, LENGTH - right), min(high, left) + 1):
+                    rows.append((r["h"], r["c"], d, xxhash.xxh3_128_digest(whole[left - d : left - d + LENGTH])))
+            if rows:
+                h, c, d, w = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(w, pa.binary())], ["h", "c", "low", "w"])
+
+
+def vast_matches(drawn: DataFrame, vast: DataFrame) -> DataFrame:
+    """(h, c, low, high) for groups (h, quarter, key) too large to sort in one task: equal windows meet by hash.
+
+    A window's contexts are only reduced to the least and the largest, so one in a third of all
+    texts costs a task no more than any other.
+    """
+    windows = drawn.join(vast, ["h", "quarter", "key"], "left_semi").select("h", "c", "quarter", "left", "right").mapInArrow(_windows, "h long, c long, low long, w binary")
+    shared = windows.groupBy("h", "w").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first != last").select("h", "w")
+    return windows.join(shared, ["h", "w"], "left_semi").select("h", "c", "low", F.col("low").alias("high")).distinct()
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +288,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:
             continue
         h, j, cs = group["h"][0].as_py(), group["quarter"][0].as_py(), group["c"].to_pylist()
-        quarter = LENGTH // 4
-        low, high = (0, LENGTH) if j < 0 else (j * quarter, LENGTH if j == 3 else (j + 1) * quarter - 1)
+        low, high = offsets_of(j)
         found = repeated_offsets(list(zip(group["left"].to_pylist(), group["right"].to_pylist())), LENGTH, low, high)
         rows = [(c, lo, hi) for c, spans in zip(cs, found) for lo, hi in spans]
         if rows:
@@ -277,7 +313,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(shas, pa.string())], ["mark", "n_removed", "spans", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) for every row.
 
     A byte goes if a 400-byte string that covers it also starts anywhere else, in the same text or
@@ -285,7 +321,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs of bytes [start, stop); kept_sha256 is the digest of the bytes that remain, joined. Null
     texts are empty; texts of under 400 bytes stay. Rows that repeat, with the same id or not, are
     exact copies: all their bytes go if they have 400. An empty table gives no rows. Other columns
-    are not read. Texts are moved twice, and only to join what one document of each kind needs.
+    are not read. Texts are moved twice, and only to join what one document of each kind needs. No
+    task sorts more than chunk contexts at a time; what is left over matches by windows' hashes.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = texts.where(F.octet_length("text") >= LENGTH)
@@ -300,9 +337,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = same.join(crowded, "h").select(F.col("at.mark").alias("mark"), F.col("at.first").alias("own"), F.struct("h", "c", F.col("at.a").alias("a"), F.col("at.p").alias("p"), F.col("at.b").alias("b"), F.col("of_gram").alias("n")).alias("place"))
     wanted = wanted.groupBy("mark", "own").agg(F.collect_list("place").alias("places"))
     owned = long.join(wanted, F.col("id").eqNullSafe(F.col("own"))).where(F.unhex(F.sha2("text", 256)) == F.col("mark"))
-    drawn = owned.select("text", "places").mapInArrow(_contexts, "h long, key long, c long, quarter int, left binary, right binary")
+    drawn = owned.select("text", "places").mapInArrow(_contexts(chunk), "h long, key long, c long, quarter int, left binary, right binary")
+    apart = None
+    if not crowded.where(F.col("of_gram") > chunk).isEmpty():
+        drawn = materialize(drawn, "drawn")
+        group = ["h", "quarter", "key"]
+        vast = materialize(drawn.where("quarter >= 0").groupBy(*group).count().where(F.col("count") > chunk).select(*group), "vast")
+        if not vast.isEmpty():
+            apart = vast_matches(drawn, vast)
+            drawn = drawn.join(vast, group, "left_anti")
     drawn = drawn.repartition("h", "key").dropDuplicates(["h", "key", "quarter", "c"]).sortWithinPartitions("h", "quarter", "key", "c")
     partly = drawn.mapInArrow(_matches, "h long, c long, low long, high long")
+    partly = partly if apart is None else partly.unionByName(apart)
     partly = partly.groupBy("h", "c").agg(F.collect_set(F.struct("low", "high")).alias("offsets"))
     wholly = same.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(1 << 40).alias("high"))).alias("offsets"))
     known = materialize(partly.join(wholly.select("h", "c"), ["h", "c"], "left_anti").unionByName(wholly), "offsets")

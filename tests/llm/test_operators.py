@@ -324,19 +324,15 @@ def test_deep_shallow_order_sorts():
         assert [strings[i] for i in suffix_dedup.deep_shallow_order(strings, shallow)] == sorted(strings)
 
 
-def test_hot_gram_is_dealt_out_exactly(docs, monkeypatch):
-    given = [(r.doc_id, r.text) for r in docs.collect()]
-    rows = []
-    places = {"h": 1, "c": 0, "n": suffix_dedup.CHUNK + 1}
-    left, core = b"q" * 390, prose(70, 200).encode()[:800]
-    data = left + core
-    x = {**places, "a": 100, "p": 390, "b": 390}
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"text": [data.decode()], "places": [[x]]})
-    for b in suffix_dedup._contexts(iter([batch])):
-        rows += b.to_pylist()
-    assert [r["quarter"] for r in rows] == [0, 1, 2] and given
+@pytest.mark.parametrize("chunk", [1, 3])
+def test_hot_grams_are_dealt_out_exactly(spark, odd, chunk):
+    shared, r = prose(70, 120), random.Random(71)
+    given = [(i, prose(100 + i, 90) + shared[r.randrange(60) : len(shared) - r.randrange(60)] + prose(200 + i, 90)) for i in range(12)]
+    given += [(20 + i, prose(300, 70) + " " + shared + prose(400 + i, 60)) for i in range(4)] + [(40, shared), (41, shared[5:]), (42, shared * 2)]
+    given += [(r.doc_id, r.text) for r in odd.collect()]
+    table = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = [(r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows_of(suffix_dedup.suffix_dedup(table, chunk=chunk))]
+    assert as_multiset(got) == as_multiset(slow_suffix_dedup(given))
 
 
 # -- WARC
