@@ -5,7 +5,9 @@ colliding paragraphs are joined, their Jaccard similarity is verified on the shi
 themselves and the links are clustered. A passage that stands inside longer, different paragraphs
 has no similar paragraph; so the text is also covered by windows of MIN_WORDS words that start at
 local minima of the shingle hash (winnowing): any shared run of MIN_WORDS + SPREAD words holds a
-common window, which is matched by content.
+common window, which is matched by content. Neighbouring minima are at most SPREAD words apart, so
+a run goes on for less than SPREAD words beyond its outer common windows: all windows that start
+there are matched by content too, which removes the run to where the words stop agreeing.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from .decontam import merged
 SHINGLE, SIMILARITY, RECALL, MAX_BANDS = 5, 0.8, 0.98, 6
 MIN_WORDS, SPREAD = 25, 25
 CHUNK = 2048
-DOCUMENT, PARAGRAPH, WINDOW = 0, 1, 2
+DOCUMENT, PARAGRAPH, WINDOW, EXTENSION = 0, 1, 2, 3
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -62,6 +64,27 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.argmin(seen, axis=1) + np.arange(len(seen)))
 
 
+def extension_starts(hits: list[dict], last: int) -> np.ndarray:
+    """Starts of the windows to be matched around a document's common windows, none beyond last.
+
+    hits are (start, keeper, place, own): where the common window stands, which document keeps it,
+    where it stands there, and whether that is this very place. Two neighbours that another
+    document keeps at the same distance cover their words as they do there, and that document has
+    the windows between them; a copy so gives only what lies beyond its outer common windows.
+    """
+    wanted = np.zeros(last + 1, bool)
+    hits = sorted(hits, key=lambda x: x["start"])
+    for x in hits:
+        wanted[max(0, x["start"] - SPREAD + 1) : x["start"] + SPREAD] = True
+    for x in hits:
+        wanted[x["start"]] = x["own"]
+    for x, y in zip(hits, hits[1:]):
+        gap = y["start"] - x["start"]
+        if not x["own"] and not y["own"] and x["keeper"] == y["keeper"] and gap == y["place"] - x["place"] <= MIN_WORDS:
+            wanted[x["start"] : y["start"] + 1] = False
+    return np.flatnonzero(wanted)
+
+
 def _units(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,15 +133,30 @@ def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("id", "mark", "kind", "start", "size", "content.content", "content.bands")
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text one row (start, window) with the windows around its common ones, and one (content, shingles) for each paragraph."""
+    width = MIN_WORDS - SHINGLE + 1
+    longs = pa.list_(pa.int64())
     for batch in batches:
-        content, sets = [], []
-        for data, places in zip(columns_as_bytes(batch, "text"), batch.column("places").to_pylist()):
+        row, starts, windows, content, sets = [], [], [], [], []
+        for k, (data, places, hits) in enumerate(zip(columns_as_bytes(batch, "text"), *(batch.column(c).to_pylist() for c in ("places", "hits")))):
             grams = gram_hashes(data.lower().split(), SHINGLE)
+            if hits:
+                at = extension_starts(hits, len(grams) - width)
+                row.append(k)
+                starts.append(at.tolist())
+                windows.append([signed(xxhash.xxh3_64_intdigest(grams[a : a + width].tobytes())) for a in at.tolist()])
+                content.append(None)
+                sets.append(None)
             for p in places:
+                row.append(k)
+                starts.append(None)
+                windows.append(None)
                 content.append(p["content"])
                 sets.append(np.unique(grams[p["start"] : p["start"] + p["size"] - SHINGLE + 1]).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(content, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+        at = pa.array(row, pa.int64())
+        columns = [batch.column("id").take(at), batch.column("mark").take(at), pa.array(starts, pa.list_(pa.int32())), pa.array(windows, longs), pa.array(content, pa.int64()), pa.array(sets, longs)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "window", "content", "shingles"])
 
 
 def jaccard_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
@@ -180,8 +218,8 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     n_repeated counts the row's passages (paragraphs and windows) that stand elsewhere too;
     component_ids are the smallest ids of the clusters of those passages. In each cluster the
-    passage of the smallest (id, start) stays, all others are removed; spans are the merged
-    removed runs of words [start, stop) and n_removed their words. Texts that are null or shorter
+    passage of the smallest (id, start) stays, all others are removed, windows with what agrees
+    beyond them; spans are the merged removed runs of words [start, stop) and n_removed their words. Texts that are null or shorter
     than MIN_WORDS words have no passages. Rows that repeat both id and text count as one document
     and are returned as often as they come; null ids come first. An empty table gives no rows.
     Other columns are not read.
@@ -197,11 +235,24 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = materialize(keyed.join(crowded, "key"), "met")
     wanted = met.select("content", "first").distinct()
-    wanted = wanted.groupBy(F.col("first.id").alias("own"), F.col("first.mark").alias("mark")).agg(F.collect_list(F.struct("content", F.col("first.start").alias("start"), F.col("first.size").alias("size"))).alias("places"))
+    common = classes.where((F.col("kind") == WINDOW) & (F.col("n") > 1)).select("content", F.col("first").alias("stays"))
+    own_place = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("mark") == F.col("stays.mark")) & (F.col("start") == F.col("stays.start"))
+    seen = own.where(F.col("kind") == WINDOW).select("id", "mark", "start", "content").join(common, "content")
+    hit = F.struct("start", F.xxhash64("stays.id", "stays.mark").alias("keeper"), F.col("stays.start").alias("place"), own_place.alias("own"))
+    places = wanted.select(F.col("first.id").alias("own"), "first.mark", F.struct("content", F.col("first.start").alias("start"), F.col("first.size").alias("size")).alias("place"))
+    asked = places.unionByName(seen.select(F.col("id").alias("own"), "mark", hit.alias("hit")), allowMissingColumns=True)
+    asked = asked.groupBy("own", "mark").agg(F.collect_set("place").alias("places"), F.collect_set("hit").alias("hits"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fetched = texts.join(wanted, F.col("id").eqNullSafe(F.col("own"))).select("text", "places", "mark")
-    sets = fetched.where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark")).mapInArrow(_shingle_sets, "content long, shingles array<long>")
-    sets = materialize(sets.dropDuplicates(["content"]), "shingles")
+    fetched = texts.join(asked, F.col("id").eqNullSafe(F.col("own"))).select("id", "text", "places", "hits", "mark")
+    kind = docs.schema[id_col].dataType.simpleString()
+    again = fetched.where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("mark")).mapInArrow(_read_again, f"id {kind}, mark long, start array<int>, window array<long>, content long, shingles array<long>")
+    again = materialize(again, "shingles")
+    sets = again.where("content is not null").select("content", "shingles").dropDuplicates(["content"])
+    beyond = again.where("content is null").select("id", "mark", F.inline(F.arrays_zip("start", F.col("window").alias("content"))))
+    spot = F.struct("id", "mark", "start")
+    kept = beyond.groupBy("content").agg(F.min(spot).alias("stays"), F.max(spot).alias("last")).where("not stays <=> last").drop("last")
+    beyond = beyond.join(kept, "content").where(~own_place)
+    beyond = beyond.select("id", "mark", F.struct("start", F.lit(MIN_WORDS).alias("size"), F.lit(EXTENSION).alias("kind"), F.lit(True).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     dealt = deal_groups(met.select("key", "content").join(sets, "content"), "content", CHUNK)
     linked = connected_components(dealt.mapInArrow(_verified(similarity), "src long, dst long"))
     rooted = classes.join(linked.withColumn("of", F.lit(PARAGRAPH)), (F.col("content") == F.col("node")) & (F.col("kind") == F.col("of")), "left")
@@ -209,9 +260,8 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = rooted.groupBy("kind", "root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")
     known = materialize(rooted.join(whole, ["kind", "root"]).select("kind", "content", "stays"), "repeated")
     hits = own.select("id", "mark", "kind", "start", "size", "content").join(known, ["kind", "content"])
-    removed = ~(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("mark") == F.col("stays.mark")) & (F.col("start") == F.col("stays.start")))
-    hits = hits.select("id", "mark", F.struct("start", "size", "kind", removed.alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
-    found = hits.groupBy("id", "mark").agg(F.collect_set("hit").alias("found"))
+    hits = hits.select("id", "mark", F.struct("start", "size", "kind", (~own_place).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
+    found = hits.unionByName(beyond).groupBy("id", "mark").agg(F.collect_set("hit").alias("found"))
     heads = units.groupBy("id", "mark").agg(
         F.max(F.when(F.col("kind") == DOCUMENT, F.col("size"))).cast("long").alias("n_words"),
         F.count_distinct(F.when(F.col("kind") == PARAGRAPH, F.col("start"))).alias("n_paragraphs"),
@@ -220,10 +270,9 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = found.select(F.col("id").alias("own"), F.col("mark").alias("own_mark"), "found")
     told = heads.join(right, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")), "left")
     components = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["component"])))
-    none = F.array().cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
-    told = told.select("id", "n_words", "n_paragraphs", "copies", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(components, none).alias("component_ids"), "found")
+    none = F.array().cast(f"array<{kind}>")
+    told = told.select("id", "n_words", "n_paragraphs", "copies", F.coalesce(F.size(F.filter("found", lambda x: x["kind"] != EXTENSION)), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(components, none).alias("component_ids"), "found")
     told = told.withColumn("n_repeated", F.greatest("n_repeated", F.lit(0)))
-    kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_paragraphs long, copies int, n_repeated long, component_ids array<{kind}>, n_removed long, spans array<struct<start:long,stop:long>>"
     done = told.mapInArrow(_outcome, schema)
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")

@@ -240,6 +240,24 @@ def test_paragraph_dedup_finds_copies_near_copies_and_passages(spark, none):
     assert rows_of(paragraph_dedup.paragraph_dedup(none)) == []
 
 
+def test_shared_passages_go_from_end_to_end(spark):
+    rows, passages = [], []
+    for k in range(24):
+        passage = prose(4000 + k, 50 + 5 * (k % 8)).split()
+        passages.append(len(passage))
+        left, right = (prose(1000 + 2 * k + i, 40 + 11 * i).split() for i in (0, 1))
+        rows += [(2 * k, left + passage + prose(2000 + k, 30).split()), (2 * k + 1, prose(3000 + k, 60).split() + passage + right)]
+    # A third document has the middle of a passage only: what the others share beyond it goes too.
+    rows += [(-1, prose(5000, 40).split() + rows[0][1][44:76] + prose(5001, 40).split())]
+    text = [(i, " ".join(w)) for i, w in rows]
+    got = {r["id"]: r for r in rows_of(paragraph_dedup.paragraph_dedup(spark.createDataFrame(text, "doc_id long, text string").repartition(3)))}
+    for k, n in enumerate(passages):
+        spans = [(s["start"], s["stop"]) for s in got[2 * k + 1]["spans"]]
+        assert spans == [(60, 60 + n)]
+        assert got[2 * k]["n_removed"] == 0 or k == 0
+    assert got[-1]["n_removed"] == 0
+
+
 def test_jaccard_forest_connects_as_all_pairs_do():
     r = random.Random(3)
     sets = []
