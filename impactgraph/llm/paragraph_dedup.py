@@ -1,8 +1,9 @@
 """Removes repeated passages: paragraph MinHash banding, and content-anchored windows.
 
-Paragraphs (lines) of at least MIN_WORDS words are banded by MinHash of their five-word shingles;
+Paragraphs (lines) of at least SHINGLE words are banded by MinHash of their five-word shingles;
 colliding paragraphs are joined, their Jaccard similarity is verified on the shingle sets
-themselves and the links are clustered. A passage that stands inside longer, different paragraphs
+themselves and the links are clustered. Shorter lines have no shingle: they are matched by exact
+content and reported, and stay in the text. A passage that stands inside longer, different paragraphs
 has no similar paragraph; so the text is also covered by windows of MIN_WORDS words that start at
 local minima of the shingle hash (winnowing): any shared run of MIN_WORDS + SPREAD words holds a
 common window, which is matched by content. Neighbouring minima are at most SPREAD words apart, so
@@ -27,7 +28,7 @@ from .decontam import merged
 SHINGLE, SIMILARITY, RECALL, MAX_BANDS = 5, 0.8, 0.98, 6
 MIN_WORDS, SPREAD = 25, 25
 CHUNK = 2048
-DOCUMENT, PARAGRAPH, WINDOW, EXTENSION = 0, 1, 2, 3
+DOCUMENT, PARAGRAPH, WINDOW, EXTENSION, SHORT = 0, 1, 2, 3, 4
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -94,13 +95,15 @@ def _units(bands: int, rows: int):
                 words = low.split()
                 grams = gram_hashes(words, SHINGLE)
                 at, starts, sizes = 0, [], []
+                units = [(DOCUMENT, 0, len(words), 0, None)]
                 for line in low.split(b"\n"):
                     n = len(line.split())
-                    if n >= MIN_WORDS:
+                    if n >= SHINGLE:
                         starts.append(at)
                         sizes.append(n)
+                    elif n:
+                        units.append((SHORT, at, n, xxhash.xxh3_64_intdigest(b" ".join(words[at : at + n])), None))
                     at += n
-                units = [(DOCUMENT, 0, len(words), 0, None)]
                 if starts:
                     parts = [grams[a : a + n - SHINGLE + 1] for a, n in zip(starts, sizes)]
                     begin = np.cumsum([0, *map(len, parts)])[:-1]
@@ -124,7 +127,7 @@ def _units(bands: int, rows: int):
 
 
 def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, kind, start, size, content, bands): each document's header, paragraphs and windows."""
+    """(id, mark, kind, start, size, content, bands): each document's header, paragraphs, short lines and windows."""
     bands, rows = tune_bands()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, mark long, kind array<int>, start array<int>, size array<int>, content array<struct<content:long,bands:array<long>>>"
@@ -214,13 +217,15 @@ def _outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, n_words, n_paragraphs, n_repeated, component_ids, n_removed, spans) for every row.
+    """(id, n_words, n_paragraphs, n_repeated, component_ids, n_short_repeated, short_component_ids, n_removed, spans) for every row.
 
-    n_repeated counts the row's passages (paragraphs and windows) that stand elsewhere too;
+    n_paragraphs counts the lines that hold words; n_repeated counts the row's passages (paragraphs and windows) that stand elsewhere too;
     component_ids are the smallest ids of the clusters of those passages. In each cluster the
     passage of the smallest (id, start) stays, all others are removed, windows with what agrees
-    beyond them; spans are the merged removed runs of words [start, stop) and n_removed their words. Texts that are null or shorter
-    than MIN_WORDS words have no passages. Rows that repeat both id and text count as one document
+    beyond them; spans are the merged removed runs of words [start, stop) and n_removed their words. Lines of
+    under SHINGLE words that stand elsewhere too, alike in every word, are n_short_repeated, with
+    the smallest ids of their clusters in short_component_ids; they are not removed. Texts that
+    are null or hold no word have no passages. Rows that repeat both id and text count as one document
     and are returned as often as they come; null ids come first. An empty table gives no rows.
     Other columns are not read.
     """
@@ -260,19 +265,28 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = rooted.groupBy("kind", "root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")
     known = materialize(rooted.join(whole, ["kind", "root"]).select("kind", "content", "stays"), "repeated")
     hits = own.select("id", "mark", "kind", "start", "size", "content").join(known, ["kind", "content"])
-    hits = hits.select("id", "mark", F.struct("start", "size", "kind", (~own_place).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
+    hits = hits.select("id", "mark", F.struct("start", "size", "kind", ((F.col("kind") != SHORT) & ~own_place).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     found = hits.unionByName(beyond).groupBy("id", "mark").agg(F.collect_set("hit").alias("found"))
     heads = units.groupBy("id", "mark").agg(
         F.max(F.when(F.col("kind") == DOCUMENT, F.col("size"))).cast("long").alias("n_words"),
-        F.count_distinct(F.when(F.col("kind") == PARAGRAPH, F.col("start"))).alias("n_paragraphs"),
+        F.count_distinct(F.when(F.col("kind").isin(PARAGRAPH, SHORT), F.col("start"))).alias("n_paragraphs"),
         F.count_if(F.col("kind") == DOCUMENT).cast("int").alias("copies"),
     )
     right = found.select(F.col("id").alias("own"), F.col("mark").alias("own_mark"), "found")
     told = heads.join(right, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")), "left")
-    components = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["component"])))
-    none = F.array().cast(f"array<{kind}>")
-    told = told.select("id", "n_words", "n_paragraphs", "copies", F.coalesce(F.size(F.filter("found", lambda x: x["kind"] != EXTENSION)), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(components, none).alias("component_ids"), "found")
-    told = told.withColumn("n_repeated", F.greatest("n_repeated", F.lit(0)))
-    schema = f"id {kind}, n_words long, n_paragraphs long, copies int, n_repeated long, component_ids array<{kind}>, n_removed long, spans array<struct<start:long,stop:long>>"
+    told = told.withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+
+    def count(kinds: tuple[int, ...]):
+        return F.size(F.filter("found", lambda x: x["kind"].isin(*kinds))).cast("long")
+
+    def components(kinds: tuple[int, ...]):
+        return F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: x["kind"].isin(*kinds)), lambda x: x["component"])))
+
+    long = (PARAGRAPH, WINDOW, EXTENSION)
+    told = told.select(
+        "id", "n_words", "n_paragraphs", "copies", count((PARAGRAPH, WINDOW)).alias("n_repeated"), components(long).alias("component_ids"),
+        count((SHORT,)).alias("n_short_repeated"), components((SHORT,)).alias("short_component_ids"), "found",
+    )
+    schema = f"id {kind}, n_words long, n_paragraphs long, copies int, n_repeated long, component_ids array<{kind}>, n_short_repeated long, short_component_ids array<{kind}>, n_removed long, spans array<struct<start:long,stop:long>>"
     done = told.mapInArrow(_outcome, schema)
     return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")

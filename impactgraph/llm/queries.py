@@ -43,7 +43,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = paragraph_dedup.paragraph_dedup(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_paragraphs", "n_repeated", "component_ids", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_paragraphs", "n_repeated", "component_ids", "n_short_repeated", "short_component_ids", "n_removed", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

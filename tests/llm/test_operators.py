@@ -258,6 +258,24 @@ def test_shared_passages_go_from_end_to_end(spark):
     assert got[-1]["n_removed"] == 0
 
 
+def test_paragraphs_below_a_window_are_found(spark):
+    short, wrapped = prose(6000, 5), prose(6001, 150).split()
+    near = [*wrapped[:70], "changed", *wrapped[71:]]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 15]) for i in range(0, len(w), 15))
+    like = prose(6002, 24).split()
+    rows = [(1, prose(6003, 9) + "\n" + short), (2, short.replace(" ", "  ") + "\n" + prose(6004, 30)), (3, lines(wrapped)), (4, "Two words\n" + lines(near))]
+    rows += [(5, " ".join(like)), (6, prose(6005, 12) + "\n" + " ".join([*like[:-1], "changed"])), (7, "two  Words\n" + prose(6006, 8)), (8, None), (9, " \n")]
+    got = {r["id"]: r for r in rows_of(paragraph_dedup.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))}
+    spans = {i: [(s["start"], s["stop"]) for s in r["spans"]] for i, r in got.items()}
+    assert spans[2] == [(0, 5)] and got[2]["component_ids"] == [1] and got[1]["n_repeated"] == 1
+    assert got[4]["n_removed"] >= 135 and 3 in got[4]["component_ids"]
+    assert spans[6] == [(12, 36)] and got[6]["component_ids"] == [5]
+    assert all(got[i]["n_removed"] == 0 for i in (1, 3, 5, 7, 8, 9))
+    assert [got[i]["n_short_repeated"] for i in (4, 7, 8, 9)] == [1, 1, 0, 0]
+    assert got[7]["short_component_ids"] == [4] and got[7]["component_ids"] == []
+    assert [got[i]["n_paragraphs"] for i in (1, 4, 9)] == [2, 11, 0]
+
+
 def test_jaccard_forest_connects_as_all_pairs_do():
     r = random.Random(3)
     sets = []
