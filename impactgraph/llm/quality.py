@@ -1,6 +1,7 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote junk, good or abstain on every document. Expectation
+Overlapping heuristic labellers vote junk, good or abstain on every document; where one finds junk
+of its kind, those that would vote good abstain. Expectation
 maximisation over the counts of all vote patterns (at most 3 ** labellers rows reach the driver)
 estimates each labeller's accuracy; the posteriors label a bounded sample on which a hashed linear
 scorer is trained, and that scorer rates every document.
@@ -63,7 +64,8 @@ def votes(data: bytes, found: list[float], n_words: int) -> list[int]:
     for name, value, (sign, junk, good) in zip(LABELLERS, found, BOUNDS):
         idle = not n_words or name in ("variety", "sentences") and n_words < LEAST_WORDS or name == "lines" and data.count(b"\n") + 1 < LEAST_LINES
         out.append(ABSTAIN if idle else JUNK if sign * value > sign * junk else GOOD if sign * value <= sign * good else ABSTAIN)
-    return out
+    # A measure within its bounds says nothing against another kind of junk.
+    return [ABSTAIN if v == GOOD else v for v in out] if JUNK in out else out
 
 
 def features(found: list[float], words: list[bytes], memo: dict[bytes, int], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:

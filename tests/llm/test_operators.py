@@ -199,6 +199,16 @@ def test_quality_on_labelled_rows_held_out(spark):
     assert sum(junk) <= 0.5 * len(junk)
 
 
+def test_every_kind_of_labelled_junk_goes(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.quality_scores(spark.read.parquet(f"{d}/documents.parquet")).join(labels, F.col("id") == F.col("doc_id")).collect()
+    good, junk = ([r for r in got if r.quality == q] for q in (1, 0))
+    print("kept of good", sum(r.keep for r in good), len(good), "of junk", sum(r.keep for r in junk), len(junk), "posterior", sum(r.posterior >= 0.5 for r in junk))
+    assert not any(r.keep or r.posterior >= 0.5 for r in junk)
+    assert sum(r.keep for r in good) >= 0.99 * len(good)
+
+
 def test_quality_on_odd_rows(odd, none):
     got = rows_of(quality.quality_scores(odd))
     assert len(got) == len(odd_documents())
