@@ -154,10 +154,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     long = rows.where(F.octet_length("html") >= min_revisit).select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"))
     long = materialize(long, "payloads")
     groups = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = long.join(groups, "digest").where("not page_id <=> refers_to").select(F.col("page_id").alias("own"), "refers_to").distinct()
+    revisits = long.join(groups, "digest").where("not page_id <=> refers_to").select(F.col("page_id").alias("own"), F.col("digest").alias("of"), "refers_to").distinct()
     revisits = materialize(revisits, "revisits")
-    # A shorter record may share the id of a revisit only where ids repeat; the length decides again.
-    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("own")) & (F.octet_length("html") >= min_revisit), "left")
+    # Ids may repeat with other payloads: id and digest together name a revisit. Shorter payloads have no digest.
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_revisit, F.unhex(F.sha2("html", 256))))
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left")
     told = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     return materialize(told.mapInArrow(_writer(folder), "path string, records long, payload_bytes long"), "manifest")
 

@@ -400,6 +400,16 @@ def test_warc_round_trip(spark):
     assert rows_of(warc.warc_round_trip(table.limit(0))) == []
 
 
+def test_revisits_of_repeated_and_null_ids(spark):
+    a, b, c, d = (x * 1200 for x in "abcd")
+    pages = [(5, a), (9, a), (5, c), (None, b), (7, b), (None, d), (5, b), (5, "short"), (None, "short")]
+    table = spark.createDataFrame([(i, "u", t) for i, t in pages], "page_id long, url string, html string").repartition(3)
+    got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows_of(warc.warc_round_trip(table))]
+    target = {(5, a): 9, (None, b): 7, (5, b): 7}
+    want = [(i, hashlib.sha1(t.encode()).hexdigest(), "revisit" if (i, t) in target else "response", target.get((i, t))) for i, t in pages]
+    assert as_multiset(got) == as_multiset(want)
+
+
 def test_warc_reader_rejects_damage():
     import io
 
