@@ -1,4 +1,4 @@
-"""Names, globs, visibility and test predicates as Column expressions."""
+"""Names, globs and test predicates as Column expressions."""
 
 from __future__ import annotations
 
@@ -33,18 +33,6 @@ def excluded(path: Column, names: list[str]) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names))) if names else F.lit(False)
 
 
-def visibility(name: Column) -> Column:
-    dunder = name.startswith("__") & name.endswith("__")
-    return F.when(name.startswith("_") & ~dunder, "private").otherwise("public")
-
-
-def method_kind(decorators: Column) -> Column:
-    """static, class, property, abstract or instance, in that order of precedence."""
-    has = lambda name: F.exists(decorators, lambda d: (d == name) | d.endswith("." + name))
-    accessor = F.exists(decorators, lambda d: d.endswith(".setter") | d.endswith(".getter"))
-    return F.when(has("staticmethod"), "static").when(has("classmethod"), "class").when(has("property") | accessor, "property").when(has("abstractmethod"), "abstract").otherwise("instance")
-
-
 def is_test_name(node: Column) -> Column:
     """The name rule alone: file:function ids by file name or function, dotted ids by any part; dynamic nodes never."""
     parts = F.split(node, ":")
@@ -77,9 +65,3 @@ class Discovery:
         rule = {"pytest": by_function | by_class, "unittest": class_name.isNotNull() & by_function}.get(self.framework, by_function)
         known = kind.isin("function", "method") & self.is_test_file(path) & rule
         return F.when(node.contains(":dyn:"), False).when(kind.isNull(), is_test_name(node)).otherwise(F.coalesce(known, F.lit(False)))
-
-
-def chain_text(chain: Column) -> Column:
-    """'a() -> b()' of the last name parts, without module and repository nodes."""
-    shown = F.filter(chain, lambda n: ~n.startswith("module:") & (n != "repo"))
-    return F.array_join(F.transform(shown, lambda n: F.concat(F.element_at(F.split(n, "[.]"), -1), F.lit("()"))), " → ")

@@ -1,7 +1,10 @@
-"""Confidence of a path as Column expressions, factor by factor in a fixed order."""
+"""Confidence of a path, factor by factor in a fixed order: one rule for numbers and for Column expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,21 +32,45 @@ SUMMARIES = ("Direct invocation from the test node (factors: {reason}).", "Trans
 WEAK_SYMBOLS = 0.90
 
 
-def fan_out_factor(fan_out: Column) -> Column:
-    out = F.lit(1.0)
+def plain(condition: bool, yes: Any, no: Any) -> Any:
+    return yes if condition else no
+
+
+def column(condition: Column, yes: Any, no: Any) -> Column:
+    return F.when(condition, yes).otherwise(no)
+
+
+def fan_out_factor(fan_out: Any, pick: Callable = column) -> Any:
+    out = 1.0
     for least, factor in reversed(FAN_OUT):
-        out = F.when(fan_out >= least, factor).otherwise(out)
+        out = pick(fan_out >= least, factor, out)
     return out
 
 
-def confidence(depth: Column, dynamic: Column, inheritance: Column, symbol_mean: Column, ambiguous: Column, least: Column, decorated: Column, fan_out: Column) -> Column:
-    """The product of all factors, not rounded; symbol_mean and least are 1 where no edge has one."""
-    part = lambda flag, factor: F.when(flag, factor).otherwise(1.0)
-    score = F.when(depth >= 2, F.pow(F.lit(DEPTH), depth - 1)).otherwise(1.0) * part(dynamic, DYNAMIC) * part(inheritance, INHERITANCE)
-    score = score * F.when(symbol_mean < 1, symbol_mean).otherwise(1.0) * part(ambiguous, AMBIGUOUS)
-    score = score * F.when(least < 1, least).otherwise(1.0) * part(decorated, DECORATED) * fan_out_factor(fan_out)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+def factors(depth: Any, dynamic: Any, inheritance: Any, symbol_mean: Any, ambiguous: Any, least: Any, decorated: Any, fan_out: Any, pick: Callable = column) -> list[tuple[str, Any]]:
+    """(name, factor) of all that bears on a score, in order, 1 where something does not; pick chooses by a condition.
+
+    symbol_mean and least are 1 where no edge has one.
+    """
+    return [
+        ("hops", pick(depth >= 2, DEPTH ** (depth - 1), 1.0)),
+        ("dynamic", pick(dynamic, DYNAMIC, 1.0)),
+        ("inherited", pick(inheritance, INHERITANCE, 1.0)),
+        ("symbols", symbol_mean),
+        ("ambiguous", pick(ambiguous, AMBIGUOUS, 1.0)),
+        ("edge", least),
+        ("decorated", pick(decorated, DECORATED, 1.0)),
+        ("fan_out", fan_out_factor(fan_out, pick)),
+    ]
+
+
+def confidence(*state: Any, pick: Callable = column) -> Any:
+    """The product of all factors, not rounded."""
+    value: Any = 1.0
+    for _, factor in factors(*state, pick=pick):
+        value = factor * value
+    return value
 
 
-def label(score: Column) -> Column:
-    return F.when(score >= HIGH, "HIGH").when(score >= MEDIUM, "MEDIUM").otherwise("LOW")
+def label(score: Any, pick: Callable = column) -> Any:
+    return pick(score >= HIGH, "HIGH", pick(score >= MEDIUM, "MEDIUM", "LOW"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import prefixes
@@ -18,12 +18,6 @@ def hierarchy(modules: DataFrame, module: str = "module") -> DataFrame:
     return steps.select(above.alias("src"), named.alias("dst")).distinct()
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first by order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
-
-
 def reverse(edges: DataFrame) -> DataFrame:
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
@@ -76,17 +70,16 @@ def incident_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return near.where(F.coalesce("__a", F.lit(False)) != F.coalesce("__b", F.lit(False))).select(*edges.columns)
 
 
-def prune_orphans(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def prune_orphans(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drops package and module nodes that own nothing, again and again up the hierarchy."""
-    for _ in range(max_depth):
+    while True:
         owners = edges.where("relation = 'OWNS'").select(F.col("src").alias("id")).distinct()
         bare = nodes.where(F.col("id").startswith("pkg:") | F.col("id").startswith("module:")).join(owners, "id", "left_anti").select("id")
         bare = materialize(bare, "orphans")
         if bare.isEmpty():
-            break
+            return nodes, edges
         nodes = materialize(nodes.join(bare, "id", "left_anti"), "nodes")
         edges = materialize(edges.join(bare.withColumnRenamed("id", "src"), "src", "left_anti").join(bare.withColumnRenamed("id", "dst"), "dst", "left_anti").select(*edges.columns), "edges")
-    return nodes, edges
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

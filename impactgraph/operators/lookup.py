@@ -31,12 +31,16 @@ def capped(matches: DataFrame, site: list[str], cap: int = 8) -> DataFrame:
 def attribute_lines(lines: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """lines(keys, line) to the id of the span(keys, id, start, end) that holds each, the outermost first.
 
-    Spans without an end hold what follows their start, if no ended span holds the line. The join
-    is by key, with the range as a filter.
+    Spans without an end hold what follows their start, if no ended span holds the line; of those
+    the last to start counts. Ended spans join by key with the range as a filter, open ones by one
+    sort.
     """
-    met = lines.join(spans, keys).where("start <= line and (end is null or line <= end)")
-    w = Window.partitionBy(*keys, "line").orderBy(F.col("end").isNull(), F.when(F.col("end").isNull(), -F.col("start")).otherwise(F.col("start")), "id")
-    return met.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*keys, "line", "id")
+    asked = lines.select(*keys, "line").distinct()
+    met = asked.join(spans.where("end is not null"), keys).where("start <= line and line <= end")
+    held = merge_best(met, [*keys, "line"], [F.col("start"), F.col("id")]).select(*keys, "line", "id")
+    starts = spans.where("end is null").groupBy(*keys, F.col("start").alias("line")).agg(F.min("id").alias("id"))
+    rest = nearest_preceding(asked.join(held, [*keys, "line"], "left_anti").select(*keys, "line"), starts, keys, "line", "id")
+    return held.unionByName(rest.where("last_id is not null").select(*keys, "line", F.col("last_id").alias("id")))
 
 
 def nearest_preceding(left: DataFrame, right: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -54,8 +58,7 @@ def exports(own: DataFrame, imported: DataFrame, listed: DataFrame) -> DataFrame
     rows = rows.join(explicit, "module", "left")
     chosen = rows.join(listed.select("module", "name", F.lit(True).alias("__named")), ["module", "name"], "left").where("__all is null or __named")
     prio = F.when(F.col("__all"), 1 - F.col("from_import")).otherwise(F.col("from_import"))
-    w = Window.partitionBy("module", "name").orderBy(prio)
-    return chosen.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("module", "name", "target")
+    return merge_best(chosen.withColumn("__prio", prio), ["module", "name"], [F.col("__prio"), F.col("target")]).select("module", "name", "target")
 
 
 def accessible(pairs: DataFrame, imports: DataFrame) -> DataFrame:
@@ -67,14 +70,20 @@ def accessible(pairs: DataFrame, imports: DataFrame) -> DataFrame:
     return met.where(F.col("__any").isNull() | F.col("__has") | (F.col("__root") == root(F.col("module")))).select(*pairs.columns)
 
 
-def without_overridden(found: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """found(cls, owner, target) without owners that a descendant among the same class's owners overrides; ancestors(cls, ancestor)."""
-    other = found.select("cls", F.col("owner").alias("__below"))
-    over = other.join(ancestors.select(F.col("cls").alias("__below"), F.col("ancestor").alias("owner")), "__below").where("owner != __below").select("cls", "owner").distinct()
-    return found.join(over, ["cls", "owner"], "left_anti")
+def without_overridden(found: DataFrame, ancestors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """found(keys..., owner, target) without owners that a descendant among the same keys' owners overrides; ancestors(cls, ancestor)."""
+    keys = keys or ["cls"]
+    other = found.select(*keys, F.col("owner").alias("__below"))
+    over = other.join(ancestors.select(F.col("cls").alias("__below"), F.col("ancestor").alias("owner")), "__below").where("owner != __below").select(*keys, "owner").distinct()
+    return found.join(over, [*keys, "owner"], "left_anti")
 
 
-def merge_best(hits: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first by order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def merge_best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key, the least by order (a number is turned round by its sign), then by the other columns.
+
+    Rows are reduced where they are before any moves. Maps cannot be compared, so rows may not hold any.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    ranked = F.struct(*[c.alias(f"__o{i}") for i, c in enumerate(order)], *rest)
+    best = rows.groupBy(*keys).agg(F.min(ranked).alias("__best"))
+    return best.select(*[F.col(c) if c in keys else F.col("__best").getField(c).alias(c) for c in rows.columns])

@@ -37,15 +37,28 @@ def reach(edges: DataFrame, targets: DataFrame, max_depth: int = 10, stops: Data
     return out
 
 
-def chase(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(key, root) for links(key, next): the end of each key's chain, by pointer doubling; a cycle ends at its least member."""
-    now = materialize(links.select("key", F.col("next").alias("root")), "chase")
-    for _ in range(max_rounds):
+def chase(links: DataFrame) -> DataFrame:
+    """(key, root) for links(key, next), one a key: the end of each key's chain, by pointer doubling.
+
+    A key on a cycle is its own root; one that leads into a cycle ends where it enters. A round in
+    which no chain reaches its end shows that only cycles are left.
+    """
+    now, before = links.select("key", F.col("next").alias("root")), None
+    while not now.join(links.select(F.col("key").alias("root")), "root", "left_semi").isEmpty():
         up = now.select(F.col("key").alias("root"), F.col("root").alias("further"))
-        step = now.join(up, "root", "left").select("key", "root", F.coalesce("further", "root").alias("further"))
-        step = materialize(step, "chase")
-        changed = step.where("further != root and key != root").isEmpty()
-        now = step.select("key", F.col("further").alias("root"))
-        if changed:
+        now = materialize(now.join(up, "root", "left").select("key", F.coalesce("further", "root").alias("root"), F.col("further").isNull().alias("ended")), "chase")
+        left = now.where("not ended").count()
+        if left == before:
             break
-    return now
+        before = left
+    else:
+        return now.select("key", "root")
+    stuck = materialize(links.join(now.where("not ended").select("key"), "key", "left_semi").select("key", "next"), "stuck")
+    jump, steps = stuck, 1
+    while steps < before:
+        up = jump.select(F.col("key").alias("next"), F.col("next").alias("further"))
+        jump, steps = materialize(jump.join(up, "next").select("key", F.col("further").alias("next")), "jump"), 2 * steps
+    ring = materialize(jump.select(F.col("next").alias("key")).distinct(), "ring")
+    out = now.where("ended").select("key", "root").unionByName(ring.select("key", F.col("key").alias("root")))
+    tails = stuck.join(ring, "key", "left_anti")
+    return out if tails.isEmpty() else out.unionByName(chase(tails))

@@ -17,47 +17,29 @@ from ..schemas import HITS
 from . import graph, reach
 
 
-def factors(depth: int, state: dict) -> list[tuple[str, float, dict]]:
-    """(name, factor, values for its text) of all that bears on a path's score, in order."""
-    found: list[tuple[str, float, dict]] = [("hops", S.DEPTH ** (depth - 1), {"depth": depth}) if depth >= 2 else ("direct", 1.0, {})]
-    if state["dynamic"]:
-        found.append(("dynamic", S.DYNAMIC, {}))
-    if state["inherited"]:
-        found.append(("inherited", S.INHERITANCE, {}))
-    if state["count"]:
-        found.append(("symbols", state["sum"] / state["count"], {}))
-    if state["ambiguous"]:
-        found.append(("ambiguous", S.AMBIGUOUS, {}))
-    if state["least"] < 1:
-        found.append(("edge", state["least"], {"percent": int(state["least"] * 100)}))
-    if state["decorated"]:
-        found.append(("decorated", S.DECORATED, {}))
-    met = next(((least, factor) for least, factor in S.FAN_OUT if state["fan_out"] >= least), None)
-    if met:
-        found.append(("fan_out", met[1], {"level": S.FAN_OUT_LEVELS[met[0]], "fan_out": state["fan_out"]}))
-    return found
+def told_state(depth: int, state: dict) -> tuple:
+    """A path's state as the score takes it."""
+    mean = state["sum"] / state["count"] if state["count"] else 1.0
+    return depth, state["dynamic"], state["inherited"], mean, state["ambiguous"], state["least"], state["decorated"], state["fan_out"]
 
 
 def path_score(depth: int, state: dict) -> float:
     """The rounded product of all factors."""
-    value = 1.0
-    for _, factor, _ in factors(depth, state):
-        value *= factor
-    return max(0.0, min(1.0, round(value, 4)))
+    return max(0.0, min(1.0, round(S.confidence(*told_state(depth, state), pick=S.plain), 4)))
 
 
 def told(depth: int, state: dict) -> tuple[str, str, str]:
     """(summary, reason, details) of a path; symbol certainties are only spoken of where they are weak."""
-    said = [(*S.TEXTS[name], factor, values) for name, factor, values in factors(depth, state) if name != "symbols" or factor < S.WEAK_SYMBOLS]
-    reason = ", ".join(brief.format(factor=factor, **values) for brief, _, factor, values in said)
-    details = " ".join(full.format(factor=factor, **values) for _, full, factor, values in said)
+    bears = {name: factor for name, factor in S.factors(*told_state(depth, state), pick=S.plain) if factor < (S.WEAK_SYMBOLS if name == "symbols" else 1)}
+    if depth < 2:
+        bears = {"direct": 1.0} | bears
+    level = next((text for least, text in sorted(S.FAN_OUT_LEVELS.items(), reverse=True) if state["fan_out"] >= least), "")
+    values = {"depth": depth, "percent": int(state["least"] * 100), "level": level, "fan_out": state["fan_out"]}
+    reason = ", ".join(S.TEXTS[name][0].format(factor=factor, **values) for name, factor in bears.items())
+    details = " ".join(S.TEXTS[name][1].format(factor=factor, **values) for name, factor in bears.items())
     return S.SUMMARIES[depth >= 2].format(depth=depth, reason=reason), reason, details
 
 
-def label(value: float) -> str:
-    return "HIGH" if value >= S.HIGH else "MEDIUM" if value >= S.MEDIUM else "LOW"
-
-
 def best_first(target: str, edges: dict[str, list[tuple[str, float, bool]]], nodes: dict[str, dict], max_depth: int) -> list[dict]:
     """Hits of one target over reverse call edges; tests are recorded and not passed."""
 
@@ -82,7 +64,7 @@ def best_first(target: str, edges: dict[str, list[tuple[str, float, bool]]], nod
         if node != target and at(node)["is_test"]:
             value = path_score(depth, state)
             summary, reason, details = told(depth, state)
-            hits.append({"target": target, "test_function": node, "test_file": at(node)["file"], "chain": list(chain), "depth": depth, "confidence": label(value), "score": value, "explanation": summary, "reason": reason, "resolution_explanation": details})
+            hits.append({"target": target, "test_function": node, "test_file": at(node)["file"], "chain": list(chain), "depth": depth, "confidence": S.label(value, S.plain), "score": value, "explanation": summary, "reason": reason, "resolution_explanation": details})
             continue
         for after, sure, inherited in edges.get(node, ()):
             if after in settled:

@@ -1,9 +1,9 @@
-"""Text of brace languages with comments and strings blanked, and its tree of brace blocks."""
+"""Text of brace languages with comments and strings blanked, its tokens, and its tree of brace blocks."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 _DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
@@ -16,6 +16,18 @@ HIDDEN = {
     "rust": "|".join((_COMMENT, r'r(#*)".*?"\1', r'"(?:\\.|[^"\\])*"', r"'(?:\\[^\n]{1,10}?|[^'\\\n])'")),
 }
 _HIDDEN = {name: re.compile(pattern, re.DOTALL) for name, pattern in HIDDEN.items()}
+_TOKEN = re.compile(r"[^\W\d][\w$]*|[$#@][\w$]*|\d[\w.]*|=>|->|::|\S")
+_CLOSES = {"(": ")", "[": "]", "{": "}", "<": ">"}
+
+
+@dataclass(frozen=True)
+class Token:
+    text: str
+    at: int
+
+    @property
+    def is_name(self) -> bool:
+        return self.text[0].isalpha() or self.text[0] in "_$#"
 
 
 @dataclass
@@ -33,12 +45,21 @@ class Source:
     language: str
     shown: str = ""
     blocks: list[Block] = field(default_factory=list)
+    tokens: list[Token] = field(default_factory=list)
+    #: Start and content of each string of one line.
+    literals: list[tuple[int, str]] = field(default_factory=list)
     _places: list[int] = field(default_factory=list)
     _inside: list[int] = field(default_factory=list)
     _lines: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.shown = _HIDDEN[self.language].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), self.text)
+        def blank(m: re.Match) -> str:
+            if m[0][0] in "'\"`" and "\n" not in m[0] and len(m[0]) > 1:
+                self.literals.append((m.start(), m[0][1:-1]))
+            return re.sub(r"[^\n]", " ", m[0])
+
+        self.shown = _HIDDEN[self.language].sub(blank, self.text)
+        self.tokens = [Token(m[0], m.start()) for m in _TOKEN.finditer(self.shown)]
         now = -1
         for m in re.finditer(r"[{}]", self.shown):
             if m[0] == "{":
@@ -51,6 +72,43 @@ class Source:
             self._inside.append(now)
         self._lines = [m.end() for m in re.finditer("\n", self.text)]
 
+    def token(self, i: int) -> str:
+        """The i-th token's text; empty before the first and after the last."""
+        return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
+
+    def index_at(self, at: int) -> int:
+        """The first token that starts at or after a place."""
+        return bisect_left(self.tokens, at, key=lambda t: t.at)
+
+    def opens_statement(self, i: int) -> bool:
+        """Token i is the first of its line, or follows a brace or a semicolon."""
+        if i == 0 or self.tokens[i - 1].text in "{};":
+            return True
+        return "\n" in self.shown[self.tokens[i - 1].at : self.tokens[i].at]
+
+    def past(self, i: int) -> int:
+        """The place after the bracket that closes token i; i itself where it opens none."""
+        close = _CLOSES.get(self.token(i))
+        if close is None:
+            return i
+        deep = 0
+        for j in range(i, len(self.tokens)):
+            text = self.tokens[j].text
+            if text == self.tokens[i].text:
+                deep += 1
+            elif text == close:
+                deep -= 1
+                if not deep:
+                    return j + 1
+            elif close == ">" and text in ";{}":
+                break
+        return len(self.tokens) if close != ">" else i + 1
+
+    def literal_after(self, at: int) -> str | None:
+        """The first string that starts at or after a place."""
+        found = bisect_left(self.literals, (at,))
+        return self.literals[found][1] if found < len(self.literals) else None
+
     def line(self, at: int) -> int:
         return bisect_right(self._lines, at) + 1
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..shared import materialize
+from ..sources import files as paths
 from . import brace_source, python_source
 
 PARSERS: dict[str, Callable] = {
@@ -23,12 +26,12 @@ PARSERS: dict[str, Callable] = {
     ".rs": brace_source.parse_rust,
 }
 
-_SYMBOL = (
-    "struct<unique_id:string,module:string,filepath:string,class_name:string,function_name:string,decorators:array<string>,line_no:int,col_offset:int,"
-    "visibility:string,async_sync:string,kind:string,method_kind:string,bases:array<string>,calls:array<string>,local_types:map<string,string>,"
-    "parent_id:string,local_defs:array<string>,globals:array<string>,nonlocals:array<string>,end_line_no:int>"
-)
-_ROW = f"filepath string, symbols array<{_SYMBOL}>, imports array<struct<local_name:string,fqn:string>>, wildcards array<string>, all_names array<string>"
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_KINDS = {"line_no": pa.int32(), "col_offset": pa.int32(), "end_line_no": pa.int32(), "local_types": pa.map_(_TEXT, _TEXT)}
+_KINDS |= dict.fromkeys(("decorators", "bases", "calls", "local_defs", "globals", "nonlocals"), _TEXTS)
+_SYMBOL = pa.struct([(x, _KINDS.get(x, _TEXT)) for x in "unique_id module filepath class_name function_name decorators line_no col_offset visibility async_sync kind method_kind bases calls local_types parent_id local_defs globals nonlocals end_line_no".split()])
+_IMPORT = pa.struct([("local_name", _TEXT), ("fqn", _TEXT)])
+_ROW = pa.schema([("filepath", _TEXT), ("symbols", pa.list_(_SYMBOL)), ("imports", pa.list_(_IMPORT)), ("wildcards", _TEXTS), ("all_names", _TEXTS)])
 
 
 def register(extension: str, parser: Callable) -> None:
@@ -40,41 +43,35 @@ def unregister(extension: str) -> None:
     PARSERS.pop(extension, None)
 
 
-def parse_files(files: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
-    """symbols, imports and import_meta of files(rel_path, content); of equal ids the last by (path, order) stays."""
-    parsers = dict(PARSERS)
+def parse_files(files: DataFrame, roots: list[str] | None = None) -> dict[str, DataFrame]:
+    """symbols, imports and import_meta of files(rel_path, content); of equal ids the last by (path, order) stays.
 
-    def run(batches):
-        import json
+    Files are parsed where they lie: a path alone names its module, so no content is moved.
+    """
+    parsers = dict(PARSERS)
 
-        import pandas as pd
+    def parsed(path: str, text: str | None, module: str, package: bool) -> tuple:
+        parser = parsers.get(path[path.rfind(".") :].lower())
+        if parser is None or text is None:
+            return [], [], [], None
+        try:
+            return parser(path, text, module, package)
+        except Exception:  # one file that a parser cannot take must not stop the others
+            return [], [], [], None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, text, module, package in zip(batch["rel_path"], batch["content"], batch["module"], batch["is_package"]):
-                parser = parsers.get(path[path.rfind(".") :].lower())
-                found = ([], [], [], None)
-                if parser is not None and text is not None:
-                    try:
-                        found = parser(path, text, module, package)
-                    except Exception:  # one file that a parser cannot take must not stop the others
-                        found = ([], [], [], None)
-                symbols, imports, wild, listed = found
-                out.append((path, json.dumps(symbols), json.dumps([{"local_name": a, "fqn": b} for a, b in imports]), json.dumps(wild), json.dumps(listed)))
-            yield pd.DataFrame(out, columns=["filepath", "symbols", "imports", "wildcards", "all_names"])
-
-    given = files.join(modules.select(F.col("filepath").alias("rel_path"), "module", "is_package"), "rel_path")
-    text = given.mapInPandas(run, "filepath string, symbols string, imports string, wildcards string, all_names string")
-    rows = materialize(
-        text.select(
-            "filepath",
-            F.from_json("symbols", f"array<{_SYMBOL}>").alias("symbols"),
-            F.from_json("imports", "array<struct<local_name:string,fqn:string>>").alias("imports"),
-            F.from_json("wildcards", "array<string>").alias("wildcards"),
-            F.from_json("all_names", "array<string>").alias("all_names"),
-        ),
-        "parsed",
-    )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500).to_pylist()
+                out = []
+                for f in part:
+                    symbols, imports, wild, listed = parsed(f["rel_path"], f["content"], f["module"], f["is_package"])
+                    symbols = [x | {"local_types": None if x["local_types"] is None else list(x["local_types"].items())} for x in symbols]
+                    out.append({"filepath": f["rel_path"], "symbols": symbols, "imports": [{"local_name": a, "fqn": b} for a, b in imports], "wildcards": wild, "all_names": listed})
+                yield pa.RecordBatch.from_pylist(out, _ROW)
+
+    given = paths.named(files.select("rel_path", "content"), roots).select("rel_path", "content", "module", "is_package")
+    rows = materialize(given.mapInArrow(run, from_arrow_schema(_ROW)), "parsed")
     each = rows.select(F.posexplode("symbols").alias("ord", "s")).select("ord", "s.*")
     last = Window.partitionBy("unique_id").orderBy(F.col("filepath").desc(), F.col("ord").desc())
     symbols = each.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")

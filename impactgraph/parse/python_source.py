@@ -4,22 +4,33 @@ from __future__ import annotations
 
 import ast
 
-# Calls that hide their target.
-DYNAMIC = {"getattr", "setattr", "eval", "exec", "__import__", "partial", "functools.partial", "import_module", "importlib.import_module", "__getattr__", "__call__"}
+# Calls that hide their target, by plain name and by attribute.
+HIDING_NAMES = {"getattr", "setattr", "eval", "exec", "__import__", "partial"}
+HIDING_ATTRIBUTES = {"import_module", "__getattr__", "__call__"}
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def dotted(node: ast.AST | None) -> str | None:
-    """a.b.c as text; super().x as super.x; what is no plain name gives None."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        base = dotted(node.value)
-        return f"{base}.{node.attr}" if base else None
-    if isinstance(node, ast.Call):
-        return "super" if dotted(node.func) == "super" else None
-    if isinstance(node, ast.Subscript):
-        return dotted(node.value)
+def dotted(node: ast.AST | None) -> str:
+    """a.b.c as text, super().x as super.x; an attribute of a result, a literal or an item is its bare name; else empty."""
+    match node:
+        case ast.Name(id=name):
+            return name
+        case ast.Attribute(value=owner, attr=name):
+            return ".".join(x for x in (dotted(owner), name) if x)
+        case ast.Call(func=ast.Name(id="super")):
+            return "super"
+    return ""
+
+
+def hidden_kind(func: ast.AST, own: set[str]) -> str | None:
+    """What hides the target of a call: a builtin, an attribute, a partial, a lambda, or a name that the function binds itself."""
+    match func:
+        case ast.Name(id=name):
+            return name if name in HIDING_NAMES else "runtime_dispatch" if name in own else None
+        case ast.Attribute(attr=name):
+            return name if name in HIDING_ATTRIBUTES else "partial" if dotted(func) == "functools.partial" else None
+        case ast.Lambda():
+            return "lambda"
     return None
 
 
@@ -49,20 +60,11 @@ def calls_of(fn) -> list[str]:
     found = []
     nodes = [n for d in fn.decorator_list for n in (d, *ast.walk(d))] + [n for part in fn.body for n in ([] if isinstance(part, (*FUNCTIONS, ast.ClassDef)) else [part, *inside(part)])]
     for n in dict.fromkeys(nodes):
-        if not isinstance(n, ast.Call):
-            continue
-        name = dotted(n.func)
-        kind = None
-        if isinstance(n.func, ast.Lambda):
-            kind = "lambda"
-        elif name in DYNAMIC:
-            kind = name.rpartition(".")[2]
-        elif name and "." not in name and name in own:
-            kind = "runtime_dispatch"
-        if kind:
-            found.append(((n.lineno, n.col_offset), f"dynamic:{kind}:{n.lineno}:{n.col_offset}"))
-        elif name:
-            found.append(((n.lineno, n.col_offset), name))
+        if isinstance(n, ast.Call):
+            kind = hidden_kind(n.func, own)
+            name = f"dynamic:{kind}:{n.lineno}:{n.col_offset}" if kind else dotted(n.func)
+            if name:
+                found.append(((n.lineno, n.col_offset), name))
     return [name for _, name in sorted(found, key=lambda x: x[0])]
 
 
@@ -114,7 +116,8 @@ def imports_of(tree: ast.AST, module: str, is_package: bool) -> tuple[list[tuple
         elif isinstance(n, (ast.Assign, ast.AnnAssign)):
             targets = n.targets if isinstance(n, ast.Assign) else [n.target]
             if any(isinstance(x, ast.Name) and x.id == "__all__" for x in targets) and isinstance(n.value, (ast.List, ast.Tuple)):
-                listed = [x.value for x in n.value.elts if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+                told = [x.value if isinstance(x, ast.Constant) else None for x in n.value.elts]
+                listed = told if all(isinstance(x, str) for x in told) else listed
     return names, wild, listed
 
 

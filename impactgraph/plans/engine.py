@@ -32,7 +32,7 @@ def index_repository(spark: SparkSession, root: str, exclude: list[str] | None =
 def index_files(content: DataFrame, paths: DataFrame | None = None, roots: list[str] | None = None, snapshot: DataFrame | None = None) -> Index:
     """The index of content(rel_path, content), which may be any table of source files."""
     modules = materialize(files.modules(content.select("rel_path") if paths is None else paths, roots), "modules")
-    parsed = parse_files(content, modules)
+    parsed = parse_files(content, roots)
     symbols = materialize(parsed["symbols"], "symbols")
     if snapshot is None:
         snapshot = modules.select(F.col("filepath").alias("path"), F.lit(None).cast("double").alias("mtime"))
@@ -57,7 +57,8 @@ def build_graph(index: Index, discovery: Discovery | None = None) -> tuple[DataF
     discovery = discovery or Discovery()
     symbols, empty = index.symbols, lambda t: F.lit(None).cast(t)
     imports = resolve.close_imports(index.imports, index.import_meta, index.modules, symbols)
-    calls = resolve.resolve_calls(symbols, imports, excludes=resolve.star_excludes(index.import_meta, index.modules, symbols))
+    excludes = resolve.star_excludes(index.import_meta, index.modules, symbols, imports)
+    calls = resolve.resolve_calls(symbols, imports, excludes=excludes, modules=index.modules)
     of = symbols.select("unique_id", F.concat_ws(".", "module", "class_name").alias("full_class"), "class_name")
     pair = calls.join(of.select(F.col("unique_id").alias("src"), F.col("full_class").alias("a"), F.col("class_name").alias("ac")), "src").join(of.select(F.col("unique_id").alias("dst"), F.col("full_class").alias("b"), F.col("class_name").alias("bc")), "dst")
     crossing = F.col("ac").isNotNull() & F.col("bc").isNotNull() & (F.col("a") != F.col("b"))
@@ -98,7 +99,7 @@ def explain_test(edges: DataFrame, test: str) -> DataFrame:
     return graph.collapse_parallel(edges.where(F.col("src") == test)).select(F.col("dst").alias("target"), F.col("certainty").alias("cert"), F.col("inheritance").alias("inherited"))
 
 
-def suggest_files(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 64) -> DataFrame:
+def suggest_files(nodes: DataFrame, edges: DataFrame, target: str) -> DataFrame:
     """(file, priority, kind, reason) to look at after a change: 1 direct callers, 2 transitive ones, 3 tests.
 
     Callers are walked level by level up to tests, each node by its first way: via is the first
@@ -109,7 +110,9 @@ def suggest_files(nodes: DataFrame, edges: DataFrame, target: str, max_depth: in
     none = F.lit(None).cast("string")
     level = nodes.sparkSession.createDataFrame([(target,)], "id string").select("id", none.alias("via"), none.alias("below"), F.lit(0).alias("depth"))
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         going = level if depth == 1 else level.join(facts.where("is_test").select("id"), "id", "left_anti")
         step = going.join(back, going["id"] == back["src"]).select(F.col("dst").alias("id"), F.coalesce("via", "dst").alias("via"), F.col("src").alias("below"), F.lit(depth).alias("depth"))
         for seen in levels:
@@ -146,4 +149,4 @@ def analyze_diff(index: Index, nodes: DataFrame, edges: DataFrame, diffs: DataFr
     """Best hit of each test over all changed symbols, by one traversal for all of them."""
     targets = changed_symbols(index, diffs).withColumnRenamed("id", "node")
     hits = search.affected_tests(nodes, edges, targets, max_depth)
-    return lookup.merge_best(hits, ["test_function"], [F.col("score").desc(), F.col("target")]).orderBy(F.col("score").desc(), "test_function")
+    return lookup.merge_best(hits, ["test_function"], [-F.col("score"), F.col("target")]).orderBy(F.col("score").desc(), "test_function")

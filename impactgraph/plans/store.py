@@ -72,8 +72,8 @@ def reindex(spark: SparkSession, root: str, old: engine.Index, exclude: list[str
     changes = engine.materialize(delta.snapshot_diff(old.snapshot, files.snapshot(listed)), "changes")
     fresh = listed.join(changes.where("op != 'deleted'").select("path"), "path", "left_semi")
     named = engine.materialize(files.modules(listed.select(F.col("path").alias("rel_path")), roots), "modules")
-    parsed = parse_files(files.contents(fresh), named)
-    stay = files.snapshot(listed).join(changes.select("path"), "path", "left_anti").select("path")
+    parsed = parse_files(files.contents(fresh), roots)
+    stay = delta.reusable(old.snapshot, files.snapshot(listed)).where("reused").select("path")
 
     def merged(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
         return before.join(stay.withColumnRenamed("path", key), key, "left_semi").select(*now.columns).unionByName(now)

@@ -121,7 +121,7 @@ def longest_prefix_match(spark, d):
 
 @query(f"WITH {CALLS_SQL} SELECT src, dst, certainty FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS n FROM calls) WHERE n = 1")
 def calls_edges_dedup(spark, d):
-    return graph.first_by(call_edges(spark, d), ["src", "dst"], [F.col("ord")]).select("src", "dst", "certainty")
+    return lookup.merge_best(call_edges(spark, d), ["src", "dst"], [F.col("ord")]).select("src", "dst", "certainty")
 
 
 @query("""SELECT 'order:' || l_orderkey AS src, 'supplier:' || l_suppkey AS dst,
@@ -245,7 +245,7 @@ def confidence_label_counts(spark, d):
     (SELECT *, row_number() OVER (PARTITION BY test ORDER BY floor(score * 1000000 + 0.5) DESC, target) AS n FROM scored) WHERE n = 1""")
 def merge_best_hit(spark, d):
     hits = scored_paths(spark, d).withColumn("score_millionths", bucket(F.col("score")))
-    return lookup.merge_best(hits, ["test"], [F.col("score_millionths").desc(), F.col("target")]).select("test", "target", "score_millionths")
+    return lookup.merge_best(hits, ["test"], [-F.col("score_millionths"), F.col("target")]).select("test", "target", "score_millionths")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(floor((CASE WHEN l_linenumber >= 2 THEN pow(0.9, l_linenumber - 1) ELSE 1 END * CASE WHEN l_returnflag = 'R' THEN 0.4 ELSE 1 END

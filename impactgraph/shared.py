@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder. Only a local master may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         found = tempfile.mkdtemp(prefix="impactgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -52,8 +52,8 @@ def contents(files: DataFrame) -> DataFrame:
     return files.select("path", "full").mapInPandas(read, "rel_path string, content string")
 
 
-def modules(paths: DataFrame, roots: list[str] | None = None) -> DataFrame:
-    """(filepath, module, package, import_root, is_package): the longest root that holds a path names it."""
+def named(paths: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """paths(rel_path, ...) with module, package, import_root and is_package: the longest root that holds a path names it."""
     roots = sorted(["", *(roots or [])], key=len, reverse=True)
     root = F.lit("")
     for r in reversed(roots):
@@ -64,6 +64,10 @@ def modules(paths: DataFrame, roots: list[str] | None = None) -> DataFrame:
     whole = F.regexp_replace(bare, r"(^|/)__init__$", "")
     name = F.when(whole == "", "root").otherwise(F.translate(whole, "/", "."))
     is_package = F.col("rel_path").rlike(r"(^|/)__init__[.][a-z]+$")
-    told = paths.select("rel_path", root.alias("import_root")).withColumn("module", name).withColumn("is_package", is_package)
-    package = F.when(F.col("is_package"), F.col("module")).otherwise(F.regexp_replace("module", r"[.]?[^.]*$", ""))
-    return told.select(F.col("rel_path").alias("filepath"), "module", package.alias("package"), "import_root", "is_package")
+    told = paths.withColumn("import_root", root).withColumn("module", name).withColumn("is_package", is_package)
+    return told.withColumn("package", F.when(F.col("is_package"), F.col("module")).otherwise(F.regexp_replace("module", r"[.]?[^.]*$", "")))
+
+
+def modules(paths: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """(filepath, module, package, import_root, is_package) of paths(rel_path)."""
+    return named(paths.select("rel_path"), roots).select(F.col("rel_path").alias("filepath"), "module", "package", "import_root", "is_package")
