@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import source_queries
 from .functions import names, score
 from .operators import delta, graph, lookup, reach, resolve, search
 from .plans import engine
@@ -78,26 +79,6 @@ def scan_filter_exclude(spark, d):
     return docs.where(~names.excluded(F.concat_ws("/", "source", "lang"), ["src0", "src3", "de"]))
 
 
-@query("""SELECT 'region:' || r_regionkey AS id, 'region' AS kind, r_name AS name FROM region
-    UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation
-    UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name FROM customer
-    UNION ALL SELECT 'part:' || p_partkey, 'part', p_name FROM part""")
-def node_table(spark, d):
-    rows = [t(spark, d, k).select(node_id(k, f"{k[0]}_{key}").alias("id"), F.lit(k).alias("kind"), F.col(f"{k[0]}_name").alias("name")) for k, key in (("region", "regionkey"), ("nation", "nationkey"), ("customer", "custkey"), ("part", "partkey"))]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-@query("""SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'OWNS' AS relation FROM nation
-    UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'OWNS' FROM customer
-    UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'OWNS' FROM supplier""")
-def owns_hierarchy(spark, d):
-    pair = lambda name, up, upk, down, downk: t(spark, d, name).select(node_id(up, upk).alias("src"), node_id(down, downk).alias("dst"), F.lit("OWNS").alias("relation"))
-    return pair("nation", "region", "n_regionkey", "nation", "n_nationkey").unionByName(pair("customer", "nation", "c_nationkey", "customer", "c_custkey")).unionByName(pair("supplier", "nation", "s_nationkey", "supplier", "s_suppkey"))
-
-
 HOST = r"^[a-z]+://([^/?#]+)"
 
 
@@ -158,16 +139,6 @@ def dynamic_fanout(spark, d):
     return graph.dynamic_calls(sites, members)[1].where(F.col("src").contains(":dyn:"))
 
 
-@query("""WITH s AS (SELECT event_id, string_split('dynamic:' || event_type || ':' || CASE WHEN event_id % 7 = 0 THEN 'x' ELSE CAST(event_id AS VARCHAR) END || CASE WHEN event_id % 5 = 0 THEN '' ELSE ':0' END, ':') AS p FROM events)
-    SELECT event_id, CAST(len(p) AS BIGINT) AS n_parts, p[2] AS type, coalesce(try_cast(p[3] AS INTEGER), -1) AS line_no, len(p) = 4 AND try_cast(p[3] AS INTEGER) IS NOT NULL AS well_formed FROM s""")
-def tag_parse(spark, d):
-    line = F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_id").cast("string"))
-    tag = F.concat(F.lit("dynamic:"), "event_type", F.lit(":"), line, F.when(F.col("event_id") % 5 == 0, "").otherwise(":0"))
-    p = F.split(tag, ":")
-    number = F.element_at(p, 3).try_cast("int")
-    return t(spark, d, "events").select("event_id", F.size(p).cast("long").alias("n_parts"), F.element_at(p, 2).alias("type"), F.coalesce(number, F.lit(-1)).alias("line_no"), ((F.size(p) == 4) & number.isNotNull()).alias("well_formed"))
-
-
 def _reach_sql(targets: str, depth: int, stop: str = "") -> str:
     return f"""WITH RECURSIVE {LINKS_SQL}, r AS (
         SELECT node AS target, node, 0 AS depth FROM ({targets})
@@ -257,12 +228,6 @@ def confidence_score(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", bucket(value).alias("score_millionths"))
 
 
-@query("""SELECT o_orderkey, string_split('region:x.' || o_orderstatus, '.')[-1] || '() → ' || o_custkey || '() → ' || o_orderpriority || '()' AS shown FROM orders""")
-def chain_render(spark, d):
-    chain = F.array(F.lit("repo"), F.concat(F.lit("region:x."), "o_orderstatus"), F.lit("module:m"), F.concat(F.lit("a.b."), F.col("o_custkey").cast("string")), F.concat(F.lit("c."), "o_orderpriority"))
-    return t(spark, d, "orders").select("o_orderkey", names.chain_text(chain).alias("shown"))
-
-
 @query("""WITH p AS (SELECT c_nationkey, 1 AS priority, 'direct_caller' AS reason, c_custkey FROM customer WHERE c_acctbal > 9000
     UNION ALL SELECT c_nationkey, 2, 'transitive_caller', c_custkey FROM customer WHERE c_acctbal > 8000
     UNION ALL SELECT c_nationkey, 3, 'transitive_test', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
@@ -308,14 +273,6 @@ def alias_chase(spark, d):
     return reach.chase(links)
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'customer' WHEN n_nationkey % 3 = 0 THEN 'nation' WHEN r_regionkey % 2 = 0 THEN 'region' END AS scope
-    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def scope_climb(spark, d):
-    up = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    scope = F.when(F.col("c_acctbal") < 0, "customer").when(F.col("n_nationkey") % 3 == 0, "nation").when(F.col("r_regionkey") % 2 == 0, "region")
-    return up.select("c_custkey", scope.alias("scope"))
-
-
 @query("""WITH p AS (SELECT 'f' || c_nationkey AS file, 'r' || c_nationkey % 5 || '.m' AS module, 'r' || c_custkey % 5 || '.x' || c_custkey AS target FROM customer),
     i AS (SELECT 'f' || s_nationkey AS file, 'a' || s_suppkey AS local_name, 'r' || s_suppkey % 5 || '.y' AS fqn FROM supplier WHERE s_nationkey < 20)
     SELECT * FROM p WHERE file NOT IN (SELECT file FROM i) OR string_split(target, '.')[1] = string_split(module, '.')[1]
@@ -327,12 +284,6 @@ def accessibility_semi(spark, d):
     return lookup.accessible(pairs, imports)
 
 
-@query("SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48)")
-def star_exclude_anti(spark, d):
-    part = t(spark, d, "part")
-    return part.select("p_brand").distinct().join(part.where("p_size > 48").select("p_brand"), "p_brand", "left_anti")
-
-
 @query("""WITH own AS (SELECT 'm' || n_regionkey AS module, n_name AS name, 'own:' || n_name AS target FROM nation),
     imp AS (SELECT 'm' || n_regionkey AS module, n_name AS name, 'imp:' || n_name AS target FROM nation WHERE n_nationkey % 2 = 0),
     listed AS (SELECT 'm' || n_regionkey AS module, n_name AS name FROM nation WHERE n_regionkey < 2 AND n_nationkey % 3 <> 0),
@@ -436,37 +387,6 @@ def nearest_preceding_asof(spark, d):
     return lookup.nearest_preceding(e.where("event_type = 'error'").drop("event_type"), views, ["user_id"], "ts", "seen").select("event_id", "last_seen")
 
 
-@query("SELECT event_id, CAST(coalesce(lead(event_id) OVER w - event_id, 0) AS BIGINT) AS until_next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def text_until_next(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").select("event_id", F.coalesce(F.lead("event_id").over(w) - F.col("event_id"), F.lit(0)).alias("until_next"))
-
-
-@query("""WITH l AS (SELECT page_id, unnest(string_split(html, '>')) AS row, unnest(range(len(string_split(html, '>')))) AS pos FROM pages)
-    SELECT page_id, max(depth) AS deepest, CAST(sum(depth) AS BIGINT) AS total FROM (SELECT page_id,
-      CAST(sum(len(string_split(row, '<')) - len(string_split(row, '</'))) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth FROM l) GROUP BY 1""")
-def brace_depth(spark, d):
-    rows = t(spark, d, "pages").select("page_id", F.posexplode(F.split("html", ">")).alias("pos", "row"))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(F.size(F.split("row", "<")) - F.size(F.split("row", "</"))).over(w)
-    return rows.select("page_id", depth.alias("depth")).groupBy("page_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("total"))
-
-
-@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM pages)
-    SELECT page_id, name, count(*) AS n FROM c WHERE name NOT IN ('if', 'for', 'while', 'var') GROUP BY ALL""")
-def regex_call_extract(spark, d):
-    found = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1)).alias("name"))
-    return found.where(~F.col("name").isin("if", "for", "while", "var")).groupBy("page_id", "name").agg(F.count("*").alias("n"))
-
-
-@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-    SELECT page_id, string_split(href, '/')[-1] AS alias, replace(trim(href, '/'), '/', '.') AS target, count(*) AS n FROM h GROUP BY ALL""")
-def import_extract(spark, d):
-    h = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
-    named = h.select("page_id", F.element_at(F.split("href", "/"), -1).alias("alias"), F.replace(F.expr("trim(BOTH '/' FROM href)"), F.lit("/"), F.lit(".")).alias("target"))
-    return named.groupBy("page_id", "alias", "target").agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, (p_name GLOB '*a*' OR p_name GLOB '?[e-o]*') AS matched FROM part")
 def glob_match(spark, d):
     return t(spark, d, "part").select("p_partkey", names.glob(F.col("p_name"), ["*a*", "?[e-o]*"]).alias("matched"))
@@ -484,38 +404,12 @@ def test_discovery(spark, d):
     return rows.select("page_id", rule("pytest"), rule("unittest"), rule("other"))
 
 
-@query("""SELECT p_partkey, CASE WHEN n LIKE '\\_%' ESCAPE '\\' AND NOT (n LIKE '\\_\\_%' ESCAPE '\\' AND n LIKE '%\\_\\_' ESCAPE '\\') THEN 'private' ELSE 'public' END AS visibility
-    FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '_' || p_brand WHEN 1 THEN '__' || p_brand || '__' WHEN 2 THEN '__' || p_brand ELSE p_brand END AS n FROM part)""")
-def visibility_rule(spark, d):
-    size, brand = F.col("p_size") % 4, F.col("p_brand")
-    name = F.when(size == 0, F.concat(F.lit("_"), brand)).when(size == 1, F.concat(F.lit("__"), brand, F.lit("__"))).when(size == 2, F.concat(F.lit("__"), brand)).otherwise(brand)
-    return t(spark, d, "part").select("p_partkey", names.visibility(name).alias("visibility"))
-
-
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'static' WHEN p_size % 3 = 0 THEN 'class' WHEN p_size % 5 = 0 THEN 'property' WHEN p_size % 7 = 0 THEN 'abstract' ELSE 'instance' END AS method_kind FROM part""")
-def method_kind_rule(spark, d):
-    size = F.col("p_size")
-    tags = F.array_compact(F.array(F.when(size % 7 == 0, "abc.abstractmethod"), F.when(size % 5 == 0, "x.setter"), F.when(size % 3 == 0, "classmethod"), F.when(size % 2 == 0, "staticmethod")))
-    return t(spark, d, "part").select("p_partkey", names.method_kind(tags).alias("method_kind"))
-
-
-@query("SELECT (SELECT count(*) FROM part) AS symbols_count, (SELECT count(*) FROM supplier) AS imports_count, (SELECT count(*) FROM lineitem) AS calls_count")
-def index_summary(spark, d):
-    count = lambda name, alias: t(spark, d, name).agg(F.count("*").alias(alias))
-    return count("part", "symbols_count").crossJoin(count("supplier", "imports_count")).crossJoin(count("lineitem", "calls_count"))
-
-
 @query(f"WITH {CALLS_SQL} SELECT 0::BIGINT AS import_edges, (SELECT count(*) FROM calls WHERE certainty = 0.6::DOUBLE) AS ambiguous_edges, (SELECT count(*) FROM events WHERE event_type = 'error') AS dynamic_nodes")
 def graph_metrics(spark, d):
     nodes = t(spark, d, "events").select(F.when(F.col("event_type") == "error", "dynamic_call").otherwise("function").alias("kind"))
     return graph.metrics(nodes, call_edges(spark, d))
 
 
-@query("""SELECT event_id, '{"func":"' || event_type || '","user":' || user_id || '}' AS compact FROM events""")
-def json_compact(spark, d):
-    return t(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("func"), F.col("user_id").alias("user"))).alias("compact"))
-
-
 # Class lattices: (class, bases in order), and the order that is due.
 LATTICES = {
     "Base": ([], ["Base"]),
@@ -535,17 +429,51 @@ def c3_mro(spark, d):
     return resolve.linearize(bases, classes)
 
 
-@query(None)
-def impact_exact(spark, d):
-    """Best-first search from every part over the call graph order -> part, customer -> order; BUILDING customers are the tests."""
+_EXACT_SQL = f"""WITH {CALLS_SQL}, pair AS (SELECT src, dst, min(certainty) AS certainty, bool_or(inheritance) AS inheritance FROM calls GROUP BY ALL),
+    fan AS (SELECT src, count(*) AS n FROM calls GROUP BY 1), own AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+    path AS (SELECT pair.dst AS target, pair.src AS via, 'customer:' || o_custkey AS test_function, certainty, inheritance, greatest(fan.n, own.n) AS fan_out
+        FROM pair JOIN fan USING (src) JOIN orders ON pair.src = 'order:' || o_orderkey JOIN own USING (o_custkey) JOIN customer ON c_custkey = o_custkey
+        WHERE c_mktsegment = 'BUILDING' AND dst IN (SELECT 'part:' || p_partkey FROM part)),
+    scored AS (SELECT target, via, test_function, CAST(format('{{:.4f}}', 0.9::DOUBLE * CASE WHEN inheritance THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END
+        * CASE WHEN certainty = 0.9::DOUBLE THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN certainty = 0.6::DOUBLE THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * certainty
+        * CASE WHEN fan_out >= 10 THEN 0.65::DOUBLE WHEN fan_out >= 6 THEN 0.8::DOUBLE WHEN fan_out >= 3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END) AS DOUBLE) AS score FROM path),
+    best AS (SELECT *, row_number() OVER (PARTITION BY target, test_function ORDER BY score DESC, via) AS n FROM scored)
+    SELECT target, test_function, 2::INTEGER AS depth, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, score,
+        target || ' ' || via || ' ' || test_function AS chain FROM best WHERE n = 1"""
+
+
+def exact_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the call graph order -> part, customer -> order; BUILDING customers are the tests."""
     orders = t(spark, d, "orders").select(node_id("customer", "o_custkey").alias("src"), node_id("order", "o_orderkey").alias("dst"), F.lit("CALLS").alias("relation"), F.lit(1.0).alias("certainty"), F.lit(False).alias("inheritance"), F.lit(0).alias("ord"))
-    edges = call_edges(spark, d).unionByName(orders)
     test = t(spark, d, "customer").select(node_id("customer", "c_custkey").alias("id"), (F.col("c_mktsegment") == "BUILDING").alias("is_test"))
     plain = [t(spark, d, name).select(node_id(kind, key).alias("id"), F.lit(False).alias("is_test")) for name, kind, key in (("orders", "order", "o_orderkey"), ("part", "part", "p_partkey"))]
     nodes = test.unionByName(plain[0]).unionByName(plain[1]).select("id", F.lit(False).alias("decorated"), "is_test", F.lit(None).cast("string").alias("file"))
+    return nodes, call_edges(spark, d).unionByName(orders)
+
+
+@query(_EXACT_SQL)
+def impact_exact(spark, d):
+    """Best-first search from every part, with the chain that was taken."""
     targets = t(spark, d, "part").select(node_id("part", "p_partkey").alias("node"))
-    found = search.affected_tests(nodes, edges, targets)
-    return found.select("target", "test_function", "depth", "confidence", "score", "reason", F.array_join("chain", " ").alias("chain"))
+    found = search.affected_tests(*exact_graph(spark, d), targets)
+    return found.select("target", "test_function", "depth", "confidence", "score", F.array_join("chain", " ").alias("chain"))
+
+
+@query(f"SELECT * FROM ({_EXACT_SQL}) WHERE target = 'part:1'")
+def impact_one(spark, d):
+    """Best-first search from one part."""
+    found = search.affected_tests(*exact_graph(spark, d), spark.createDataFrame([("part:1",)], "node string"))
+    return found.select("target", "test_function", "depth", "confidence", "score", F.array_join("chain", " ").alias("chain"))
+
+
+@query("""WITH RECURSIVE links AS (SELECT n_nationkey AS key, (n_nationkey * n_nationkey + 3) % 25 AS next FROM nation),
+    w AS (SELECT key, key AS here, [key] AS path, false AS met FROM links
+      UNION ALL SELECT w.key, links.next, list_append(path, links.next), list_contains(path, links.next) FROM w JOIN links ON w.here = links.key WHERE NOT met)
+    SELECT key, CAST(here AS BIGINT) AS root FROM w WHERE met""")
+def alias_cycles(spark, d):
+    """Every chain of these links runs into a cycle; a key ends where its chain meets itself."""
+    links = t(spark, d, "nation").select(F.col("n_nationkey").alias("key"), ((F.col("n_nationkey") * F.col("n_nationkey") + 3) % 25).alias("next"))
+    return reach.chase(links).select("key", F.col("root").cast("long").alias("root"))
 
 
 @query("""SELECT DISTINCT 'orders.o' || l_orderkey || '.run' AS src, 'parts.m' || (l_partkey // 100) || '.p' || l_partkey AS dst, 1.0::DOUBLE AS certainty
@@ -562,3 +490,7 @@ def file_index_e2e(spark, d):
     index = engine.index_files(callers.unionByName(called))
     imports = resolve.close_imports(index.imports, index.import_meta, index.modules, index.symbols)
     return resolve.resolve_calls(index.symbols, imports).select("src", "dst", "certainty")
+
+
+QUERIES |= source_queries.QUERIES
+ORACLE_SQL |= source_queries.ORACLE_SQL

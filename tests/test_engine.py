@@ -121,3 +121,50 @@ def test_scopes_tasks_and_star_excludes(spark, tmp_path):
     assert got["scope.outer", "scope.outer.helper"] == 0.98 and got["scope.outer.inner", "scope.outer.helper"] == 0.95
     assert got["scope.other.use", "scope.helper"] == 0.95 and ("scope.other.use", "scope.other.helper") not in got
     assert got["star.f", "wide.seen"] == 1.0 and ("star.f", "wide.hidden") not in got
+
+
+def test_chains_of_stars_scopes_types_and_rings(spark, tmp_path):
+    files = {f"s{i}.py": f"from s{i + 1} import *\n" for i in range(13)} | {"s13.py": "def deep():\n    pass\n", "user.py": "from s0 import *\n\n\ndef go():\n    deep()\n"}
+    files["two.py"] = "def pick():\n    pass\n"
+    files["one.py"] = "def pick():\n    pass\n"
+    files["both.py"] = "from two import *\nfrom one import *\n\n\ndef f():\n    pick()\n"
+    nest = "def top():\n    pass\n"
+    pad = ""
+    for i in range(8):
+        nest += f"{pad}def n{i}():\n"
+        pad += "    "
+        nest += f"{pad}def near{i}():\n{pad}    pass\n"
+    files["nest.py"] = nest + f"{pad}near0()\n"
+    files["ring_a.py"] = "from ring_b import x\n\n\ndef f():\n    x()\n"
+    files["ring_b.py"] = "from ring_a import x\n"
+    files["types.py"] = "class Inner:\n    def act(self):\n        pass\n\n\nclass Outer:\n    class Part:\n        def act(self):\n            pass\n\n\ndef f(o: Outer):\n    p = o.Part()\n    p.act()\n\n\ndef g(s):\n    s = s.strip()\n    s.act()\n"
+    files["hub/__init__.py"] = "from hub.impl import work as labour\n"
+    files["hub/impl.py"] = "def work():\n    pass\n"
+    files["far.py"] = "import hub\n\n\ndef f():\n    hub.labour()\n"
+    index = engine.index_repository(spark, write(tmp_path, files))
+    _, edges = engine.build_graph(index)
+    got = {(r.src, r.dst): r.certainty for r in edges.where("relation = 'CALLS' and not contains(src, ':dyn:')").collect()}
+    assert got["user.go", "s13.deep"] == 1.0
+    assert got["both.f", "two.pick"] == 1.0 and ("both.f", "one.pick") not in got
+    assert got["nest.n0.n1.n2.n3.n4.n5.n6.n7", "nest.n0.near0"] == 0.95
+    assert not [k for k in got if k[0] == "ring_a.f"]
+    assert got["types.f", "types.Outer.Part.act"] == 0.85 and not [k for k in got if k[0] == "types.g"]
+    assert got["far.f", "hub.impl.work"] == 1.0
+
+
+def test_chase_ends_cycles(spark):
+    from impactgraph.operators.reach import chase
+
+    links = {"a": "b", "b": "c", "c": "a", "t": "u", "u": "a", "x": "y", "y": "x", "l": "m", "m": "n", "s": "s"}
+    got = {r.key: r.root for r in chase(spark.createDataFrame(list(links.items()), "key string, next string")).collect()}
+    assert got == {"a": "a", "b": "b", "c": "c", "t": "a", "u": "a", "x": "x", "y": "y", "l": "n", "m": "n", "s": "s"}
+
+
+def test_names_of_calls():
+    from impactgraph.parse import python_source
+
+    text = "import importlib\n\n\ndef f(cb):\n    make().save(); 'x'.join(a); rows[0].load(); super().go(); cb(); importlib.import_module('x'); (lambda: 1)(); functools.partial(f)\n"
+    calls = python_source.parse("m.py", text, "m", False)[0][0]["calls"]
+    kinds = [c if not c.startswith("dynamic:") else c.split(":")[1] for c in calls]
+    assert kinds == ["save", "make", "join", "load", "super.go", "super", "runtime_dispatch", "import_module", "lambda", "partial"]
+    assert python_source.parse("m.py", "__all__ = ['a', b]\n", "m", False)[3] is None

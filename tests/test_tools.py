@@ -25,9 +25,9 @@ def write(root, files):
     return str(root)
 
 
-CALC = {
-    "calc.py": "class Calculator:\n    def add(self, a, b):\n        return a + b\n\n    def subtract(self, a, b):\n        return a - b\n",
-    "test_calc.py": "from calc import Calculator\n\n\ndef test_add():\n    c = Calculator()\n    assert c.add(1, 2) == 3\n\n\ndef test_subtract():\n    c = Calculator()\n    assert c.subtract(1, 2) == -1\n",
+DEGREES = {
+    "degrees.py": "def to_kelvin(c):\n    return c + 273.15\n\n\ndef to_rankine(c):\n    return to_kelvin(c) * 1.8\n",
+    "test_degrees.py": "import degrees\n\n\ndef test_kelvin():\n    assert degrees.to_kelvin(0) > 273\n\n\ndef test_rankine():\n    assert degrees.to_rankine(1) > 400\n",
 }
 HIT = Row(target="a.f", test_function="tests.t.test_f", test_file="tests/t.py", chain=["module:a", "a.f", "tests.t.test_f"], depth=1, confidence="HIGH", score=1.0, explanation="e", reason="direct call", resolution_explanation="x")
 
@@ -79,7 +79,7 @@ def test_rendering():
 
 
 def test_requests_and_command_line(spark, tmp_path, capsys):
-    root = write(tmp_path / "calc", CALC)
+    root = write(tmp_path / "degrees", DEGREES)
     service = Service(spark)
     ask = lambda method, **params: requests.answer(service, json.dumps({"id": 1, "method": method, "params": params}))
     assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == set(requests.TOOLS)
@@ -88,30 +88,30 @@ def test_requests_and_command_line(spark, tmp_path, capsys):
     assert bad["error"]["code"] == -32700 and bad["id"] is None
     assert ask("what")["error"]["code"] == -32601 and ask("tools/call", name="what")["error"]["code"] == -32601
     assert ask("tools/call", name="impact", arguments={"repo": root})["error"]["code"] == -32603
-    found = ask("tools/call", name="impact", arguments={"repo": root, "function": "calc.Calculator.add"})
+    found = ask("tools/call", name="impact", arguments={"repo": root, "function": "degrees.to_rankine"})
     told = json.loads(found["result"]["content"][0]["text"])
-    assert [h["func"] for h in told] == ["test_calc.test_add"] and found["result"]["diagnostics"]["files_indexed"] == 2
-    told = service.suggest_files_to_update(root, "calc.Calculator.add")["files_to_review"]
-    assert told == [{"path": "test_calc.py", "reason": "tests add directly", "relationship": "transitive_test"}]
-    told = service.explain_test(root, "test_calc.test_add")
-    assert {d["target"] for d in told["depends_on"]} == {"calc.Calculator", "calc.Calculator.add"} and told["file"] == "test_calc.py"
+    assert [h["func"] for h in told] == ["test_degrees.test_rankine"] and found["result"]["diagnostics"]["files_indexed"] == 2
+    told = service.suggest_files_to_update(root, "degrees.to_rankine")["files_to_review"]
+    assert told == [{"path": "test_degrees.py", "reason": "tests to_rankine directly", "relationship": "transitive_test"}]
+    told = service.explain_test(root, "test_degrees.test_kelvin")
+    assert {d["target"] for d in told["depends_on"]} == {"degrees.to_kelvin"} and told["file"] == "test_degrees.py"
     assert "error" in service.explain_test(root, "no.such")
-    told = service.analyze_diff(root, "+++ b/calc.py\n@@ -3,1 +3,1 @@\n")
-    assert told["changed_symbols"] == ["calc.Calculator.add"] and [h["func"] for h in told["affected_tests"]] == ["test_calc.test_add"]
+    told = service.analyze_diff(root, "+++ b/degrees.py\n@@ -6,1 +6,1 @@\n")
+    assert told["changed_symbols"] == ["degrees.to_rankine"] and [h["func"] for h in told["affected_tests"]] == ["test_degrees.test_rankine"]
     assert service.analyze_diff(root, "") == {"changed_symbols": [], "affected_tests": []}
     out = io.StringIO()
     requests.serve(service, ["\n", '{"id": 2, "method": "tools/call", "params": {"name": "health"}}\n'], out)
     assert json.loads(json.loads(out.getvalue())["result"]["content"][0]["text"])["status"] == "healthy"
     capsys.readouterr()
-    assert cli.main(["analyze", "calc.Calculator.add", "-r", root, "--format", "json", "--threshold", "0", "--strict"], spark) == 0
-    assert json.loads(capsys.readouterr().out)[0]["test_function"] == "test_calc.test_add"
+    assert cli.main(["analyze", "degrees.to_rankine", "-r", root, "--format", "json", "--threshold", "0", "--strict"], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["test_function"] == "test_degrees.test_rankine"
     git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     git("init", "-q")
     git("add", ".")
     git("commit", "-qm", "x")
     assert cli.main(["diff", "-r", root], spark) == 0 and "No modified symbols" in capsys.readouterr().out
-    (tmp_path / "calc" / "calc.py").write_text(CALC["calc.py"].replace("a + b", "b + a"))
-    assert cli.main(["diff", "-r", root, "--format", "markdown"], spark) == 0 and "test_add" in capsys.readouterr().out
+    (tmp_path / "degrees" / "degrees.py").write_text(DEGREES["degrees.py"].replace("* 1.8", "/ 5 * 9"))
+    assert cli.main(["diff", "-r", root, "--format", "markdown"], spark) == 0 and "test_rankine" in capsys.readouterr().out
 
 
 def test_store_follows_the_tree(spark, tmp_path):
