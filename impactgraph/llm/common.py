@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,14 @@ def fold_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set here only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a cluster must set one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         found = tempfile.mkdtemp(prefix="impactgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,10 +46,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs, all columns as they are, whose id is in kept's only column. Null ids match null."""
-    key = kept.select(F.col(kept.columns[0]).alias("__kept_id"))
-    return docs.join(key, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for inner columns that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        found.append(stem)
+    return found
+
+
+def keep_one_each(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str, digest: Column) -> DataFrame:
+    """One row of docs, all columns as they are, for each (id, digest) of kept. Null ids match null.
+
+    Of rows that agree in both, one with a text stays before one without. Rows meet kept by (id,
+    digest), and the choice among repeats is made where they met.
+    """
+    own, nth, key, mark = free_names(docs, "own", "nth", "kept_id", "kept_digest")
+    told = kept.select(F.col(kept.columns[0]).alias(key), F.col(kept.columns[1]).alias(mark))
+    marked = docs.withColumn(own, digest)
+    stay = marked.join(told, docs[id_col].eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)), "left_semi")
+    first = Window.partitionBy(F.col(id_col), F.col(own)).orderBy(F.col(text_col).isNull())
+    return stay.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def columns_as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:

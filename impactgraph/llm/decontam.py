@@ -1,26 +1,27 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is built over normalised words on the driver, where the benchmark must first prove
-to be at most max_words words; a larger one is cut into blocks of whole items and the documents
-pass through one automaton after the other. Documents are streamed; nothing of them is shuffled.
+The automaton is built over normalised words on the driver and held in flat arrays, about 60 bytes
+a word of test items. A benchmark of more than max_words words is cut into blocks of whole items;
+the documents pass through one automaton after the other and are written in between, so that a
+task never holds two. Documents are streamed; nothing of them is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_as_bytes
+from .common import columns_as_bytes, free_names, materialize
 
 WINDOW = 10
-#: Words of test items that one automaton may hold (it has at most twice as many states).
-MAX_WORDS = 2_000_000
+#: Words of test items that one automaton may hold; it has at most twice as many states and three times as many steps.
+MAX_WORDS = 500_000
 #: Kept byte for byte: a-z, 0-9 and all bytes from 0x80; A-Z is lower-cased; the rest separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -30,41 +31,60 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(FOLD).split()
 
 
-@dataclass
 class SuffixAutomaton:
-    """Of several word sequences. out[s] lists (length, item): the windows that end where state s ends."""
-
-    window: int = WINDOW
-    ids: dict[bytes, int] = field(default_factory=dict)
-    step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    out: dict[int, list[tuple[int, frozenset]]] = field(default_factory=dict)
-
-    def _new(self, length: int, link: int, step: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.step.append(step)
+    """Of several word sequences, in flat arrays.
+
+    A state's first step is in two arrays, as most states have no other; further ones are in one
+    table by (state, word). out_at names the windows that end where a state ends: a place in outs,
+    whose entries (length, items) are shared by all states that have the same.
+    """
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.ids: dict[bytes, int] = {}
+        self.word, self.to = array("i", [-1]), array("i", [0])
+        self.more: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.out_at = array("i")
+        self.outs: list[tuple[tuple[int, frozenset], ...]] = []
+
+    def step(self, state: int, c: int) -> int:
+        """The state after word c, or -1."""
+        return self.to[state] if self.word[state] == c else self.more.get(state << 32 | c, -1)
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more[state << 32 | c] = to
+            self.fan.setdefault(state, set()).add(c)
+
+    def _new(self, length: int, link: int) -> int:
+        for column, value in ((self.length, length), (self.link, link), (self.word, -1), (self.to, 0)):
+            column.append(value)
         return len(self.length) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        clone = self._new(self.length[p] + 1, self.link[q], dict(self.step[q]))
+        clone = self._new(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        for x in self.fan.get(q, ()):
+            self._put(clone, x, self.more[q << 32 | x])
         self.link[q] = clone
-        while p >= 0 and self.step[p].get(c) == q:
-            self.step[p][c] = clone
+        while p >= 0 and self.step(p, c) == q:
+            self._put(p, c, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.step[last].get(c)
-        if q is not None:
+        q = self.step(last, c)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new, p = self._new(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.step[p]:
-            self.step[p][c] = new
+        new, p = self._new(self.length[last] + 1, 0), last
+        while p >= 0 and self.step(p, c) < 0:
+            self._put(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.step[p][c]
+            q = self.step(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
@@ -72,36 +92,43 @@ class SuffixAutomaton:
     def build(cls, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> SuffixAutomaton:
         """Items without words match nothing; of fewer words than the window, they match as a whole."""
         own = cls(window)
-        coded = []
-        for name, words in items:
-            if words:
-                coded.append((name, [own.ids.setdefault(w, len(own.ids)) for w in words]))
+        own.fan: dict[int, set[int]] = {}  # the words of a state's further steps, while it is built
+        coded = [(name, array("i", [own.ids.setdefault(w, len(own.ids)) for w in words])) for name, words in items if words]
         for _, codes in coded:
             last = 0
             for c in codes:
                 last = own._extend(last, c)
+        del own.fan
         ends: dict[int, dict[int, set]] = {}
         for name, codes in coded:
             state, have = 0, 0
             size = min(window, len(codes))
             for c in codes:
-                state, have = own.step[state][c], have + 1
+                state, have = own.step(state, c), have + 1
                 if have >= size:
                     at = state
                     while own.length[own.link[at]] >= size:
                         at = own.link[at]
                     ends.setdefault(at, {}).setdefault(size, set()).add(name)
+        own.out_at = array("i", [-1]) * len(own.length)
+        known: dict[tuple, int] = {}
         for at in sorted(range(1, len(own.length)), key=own.length.__getitem__):
-            found = {n: frozenset(names) for n, names in ends.get(at, {}).items()}
-            for n, names in own.out.get(own.link[at], ()):
+            above = own.out_at[own.link[at]]
+            if at not in ends:
+                own.out_at[at] = above
+                continue
+            found = {n: frozenset(names) for n, names in ends[at].items()}
+            for n, names in own.outs[above] if above >= 0 else ():
                 found[n] = found.get(n, frozenset()) | names
-            if found:
-                own.out[at] = sorted(found.items())
+            entry = tuple(sorted(found.items(), key=lambda x: x[0]))
+            own.out_at[at] = known.setdefault(entry, len(own.outs))
+            if own.out_at[at] == len(own.outs):
+                own.outs.append(entry)
         return own
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit runs [start, end) in words, and the items of which a window occurs."""
-        code, step, link, length, out = self.ids.get, self.step, self.link, self.length, self.out
+        code, word, to, more, link, length, out_at, outs = self.ids.get, self.word, self.to, self.more.get, self.link, self.length, self.out_at, self.outs
         state = have = 0
         spans: list[tuple[int, int]] = []
         hit: set = set()
@@ -110,16 +137,16 @@ class SuffixAutomaton:
             if c is None:
                 state = have = 0
                 continue
-            to = step[state].get(c)
-            while to is None and state:
+            after = to[state] if word[state] == c else more(state << 32 | c, -1)
+            while after < 0 and state:
                 state = link[state]
                 have = length[state]
-                to = step[state].get(c)
-            if to is None:
+                after = to[state] if word[state] == c else more(state << 32 | c, -1)
+            if after < 0:
                 continue
-            state, have = to, have + 1
-            if state in out:
-                for n, names in out[state]:
+            state, have = after, have + 1
+            if out_at[state] >= 0:
+                for n, names in outs[out_at[state]]:
                     if n <= have:
                         hit |= names
                         start = i + 1 - n
@@ -238,6 +265,9 @@ def decontaminate(
         after = next(blocks, None)
         sent = spark.sparkContext.broadcast(SuffixAutomaton.build(block, window))
         found = found.mapInArrow(_scan_block(sent, after is None, clean, max_coverage), schema)
+        if after is not None:
+            found = materialize(found, "scanned")
+            sent.unpersist()
         block = after
     return found.drop("text")
 
@@ -250,8 +280,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     """docs with contaminated spans cut out of text; documents over the coverage limit go.
 
     Clean rows keep their text to the byte, null included; columns and their names are unchanged.
+    Every row is judged by itself: repeated rows and null ids stay as often as they come, and an
+    empty table or an empty benchmark changes nothing.
     """
     rest = [c for c in docs.columns if c != text_col]
-    whole = docs.select(F.struct(*rest, F.lit(True).alias("__row")).alias("row"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct(*rest, F.lit(True).alias(free_names(docs, "present")[0])).alias("row"), F.col(text_col).alias("text"))
     found = decontaminate(whole, benchmark, id_col="row", text_col="text", **options).where("not over")
     return found.select(*[(F.col("cleaned") if c == text_col else F.col("id").getField(c)).alias(c) for c in docs.columns])

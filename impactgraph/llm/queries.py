@@ -27,7 +27,7 @@ def op1_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_digests(found: DataFrame) -> DataFrame:
     return found.select(
-        F.col("id").alias("doc_id"), "rank", F.size("ids").cast("long").alias("n_pieces"), "log_p", F.col("value").alias("perturbed"), "inclusion", F.xxhash64("ids").alias("ids_hash")
+        F.col("id").alias("doc_id"), "rank", F.size("ids").cast("long").alias("n_pieces"), "log_p", F.col("value").alias("perturbed"), "log_inclusion", "round_trip", F.xxhash64("ids").alias("ids_hash")
     )
 
 
@@ -47,7 +47,9 @@ def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), new_index(spark))
+    index = new_index(spark)
+    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), index)
+    index.drop()
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

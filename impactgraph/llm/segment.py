@@ -18,7 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ _UNIT = re.compile(f"{_SPACE}*[^{_SPACE}\n0-9]+|{_SPACE}+|[\n0-9]")
 
 
 def model_path(name: str = MODEL) -> str:
+    """Where the environment keeps a public vocabulary; its module public_tokenizers only tells the path. Give path= to do without it."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -52,6 +53,7 @@ class Pieces:
     logs: np.ndarray
     longest: int
     tables: list[tuple[np.uint64, np.ndarray, np.ndarray, np.ndarray]]
+    bytes_of: list[bytes] = field(default_factory=list)
 
     @classmethod
     def load(cls, path: str | None = None) -> Pieces:
@@ -101,6 +103,14 @@ class Pieces:
         assert not rest
         return cls(texts, byte_ids, logs, max(map(len, plain)), tables)
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """What pieces spell, with the leading blank."""
+        if not self.bytes_of:
+            self.bytes_of += [t.replace(_SPACE, " ").encode() for t in self.texts]
+            for value, i in enumerate(self.byte_ids.tolist()):
+                self.bytes_of[i] = bytes([value])
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The id of each prefix hash, -1 for a prefix that is no piece, -2 for none."""
         out = np.full(len(keys), -2, np.int32)
@@ -125,6 +135,11 @@ def units_of(text: str) -> list[str]:
     return _UNIT.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
 
 
+def spoken(text: str) -> bytes:
+    """The bytes that pieces of a text must spell: a blank comes first."""
+    return b" " + text.encode("utf-8", "surrogatepass") if text else b""
+
+
 class Lattice:
     """Nodes of distinct units: each character is one, plus an end for each unit."""
 
@@ -315,9 +330,10 @@ def _push(heap: list, leaf_no: int, values: np.ndarray, states: list) -> None:
 def sample_texts(texts: list[str], seeds: list[int], pieces: Pieces, k: int = SAMPLES) -> list[list[dict]]:
     """For each text up to k distinct segmentations, by falling perturbed value.
 
-    Each is {ids, log_p, value, inclusion}: its log-probability, its Gumbel-perturbed value and the
-    probability that it beats the first value left out (1 where none is). A text without
-    characters has one segmentation, of no piece.
+    Each is {ids, log_p, value, log_inclusion}: its log-probability, its Gumbel-perturbed value and
+    the logarithm of the probability that it beats the first value left out (0 where none is),
+    which no long text can take below what a double holds. A text without characters has one
+    segmentation, of no piece.
     """
     known: dict[str, int] = {}
     flat: list[int] = []
@@ -332,7 +348,7 @@ def sample_texts(texts: list[str], seeds: list[int], pieces: Pieces, k: int = SA
     seed = np.array([s % (1 << 64) for s in seeds], np.uint64)
     out: list[list[dict]] = [[] for _ in texts]
     if lattice is None:
-        return [[{"ids": np.zeros(0, np.int32), "log_p": 0.0, "value": 0.0, "inclusion": 1.0}] for _ in texts]
+        return [[{"ids": np.zeros(0, np.int32), "log_p": 0.0, "value": 0.0, "log_inclusion": 0.0}] for _ in texts]
     text_of = np.repeat(np.arange(n), np.diff(bound))
     ordinal = np.arange(len(unit)) - bound[:-1][text_of]
     paths = walk(lattice, lattice.first[unit], text_of, ordinal, seed, 0, n)
@@ -391,8 +407,9 @@ def sample_texts(texts: list[str], seeds: list[int], pieces: Pieces, k: int = SA
         beyond = -heaps[i][0][0] if heaps[i] else -np.inf
         for leaf in leaves[i]:
             log_p = float(leaf.log_p.sum())
-            inclusion = 1.0 if beyond == -np.inf else float(-np.expm1(-np.exp(min(50.0, log_p - beyond))))
-            out[i].append({"ids": _ids(lattice, leaf.edge, pieces), "log_p": log_p, "value": leaf.value, "inclusion": inclusion})
+            over = 50.0 if beyond == -np.inf else min(50.0, log_p - beyond)
+            inclusion = over if over < -30 else float(np.log(-np.expm1(-np.exp(over))))
+            out[i].append({"ids": _ids(lattice, leaf.edge, pieces), "log_p": log_p, "value": leaf.value, "log_inclusion": inclusion})
     return out
 
 
@@ -432,7 +449,7 @@ def row_seed(key: object, data: bytes) -> int:
 
 
 def _sampled(path: str | None, k: int):
-    names = ("id", "rank", "ids", "log_p", "value", "inclusion")
+    names = ("id", "rank", "ids", "log_p", "value", "log_inclusion", "round_trip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
@@ -452,14 +469,17 @@ def _sampled(path: str | None, k: int):
                     rows = [(begin + lo + i, rank, s) for i, samples in enumerate(found[lo : lo + 500]) for rank, s in enumerate(samples, 1)]
                     bounds = np.cumsum([0, *(len(s["ids"]) for _, _, s in rows)])
                     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([s["ids"] for _, _, s in rows]), pa.int32()))
-                    numbers = [pa.array([s[c] for _, _, s in rows], pa.float64()) for c in ("log_p", "value", "inclusion")]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), lists, *numbers], names)
+                    numbers = [pa.array([s[c] for _, _, s in rows], pa.float64()) for c in ("log_p", "value", "log_inclusion")]
+                    same = [pieces.spelled(s["ids"]) == spoken(part[at_ - begin]) for at_, _, s in rows]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), lists, *numbers, pa.array(same, pa.bool_())], names)
 
     return run
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, rank, ids, log_p, value, inclusion): up to k distinct segmentations of every row's whole text.
+    """(id, rank, ids, log_p, value, log_inclusion, round_trip): up to k distinct segmentations of every row's whole text.
+
+    round_trip tells whether the ids decode to the text, byte for byte.
 
     Texts that are null or empty have one, of no piece. The draw depends on the id alone, so rows
     that repeat an id and text get the same; a null id is seeded by its text. A text with fewer than
@@ -467,7 +487,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, id_col: str = "doc_i
     nothing is shuffled.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, rank int, ids array<int>, log_p double, value double, inclusion double"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, rank int, ids array<int>, log_p double, value double, log_inclusion double, round_trip boolean"
     return given.mapInArrow(_sampled(path, k), schema)
 
 

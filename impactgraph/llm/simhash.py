@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_as_bytes, deal_groups, keep_ids, materialize, runs, signed
+from .common import columns_as_bytes, deal_groups, keep_one_each, materialize, runs, signed
 from .components import connected_components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 5, 3, 42
@@ -49,7 +49,8 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x) for x in columns_as_bytes(batch, "text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], ["id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(found, pa.int64())], [*rest, "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,6 +159,14 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     return deal_groups(dealt, "fp", chunk).mapInArrow(_bucket_links(radius), "src long, dst long")
 
 
+def near_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, first, root) of rows(id, fp): each fingerprint's least id, and the fingerprint that names its component."""
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    linked = connected_components(near_links(classes.select("fp"), radius))
+    named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    return materialize(named, "named")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for every row: component_id is the smallest id reachable over links of distance <= radius.
 
@@ -166,15 +175,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one. An empty table gives no rows. Other columns are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    linked = connected_components(near_links(classes.select("fp"), radius))
-    named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    named = materialize(named, "named")
+    named = near_classes(rows, radius)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; columns unchanged."""
-    groups = simhash_groups(docs, id_col, text_col, radius)
-    return keep_ids(docs, groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct(), id_col)
+    """One row of docs for each group of near copies, columns unchanged.
+
+    The row with the least id stays, any id before a null one; of rows that share that id the one
+    whose text has the least SHA-256, and of rows that share both, one, with a text before without.
+    So groups are told apart by their fingerprints, not by ids, which may repeat. Null and empty
+    texts are one group with all else of fingerprint zero. An empty table stays empty.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    given = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text"))
+    rows = given.mapInArrow(_fingerprints, f"id {docs.schema[id_col].dataType.simpleString()}, digest binary, fp long")
+    rows = materialize(rows, "fingerprints")
+    of_class = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("best"))
+    best = of_class.join(near_classes(rows, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    return keep_one_each(docs, best.select("best.id", "best.digest"), id_col, text_col, digest)
