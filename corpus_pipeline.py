@@ -14,27 +14,30 @@ from impactgraph.llm.common import materialize
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on all of docs, does not reject."""
+    """Documents that the quality classifier, fitted on docs, does not reject; null and empty texts are judged like any other, repeated rows alike."""
     return quality.keep_good(docs)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id; the index starts empty."""
-    return exact_dedup.drop_exact_copies(docs, queries.new_index(spark))
+    """Of equal texts, the document with the largest id, any id before a null one; null and empty are equal. The index is the run's own."""
+    index = queries.new_index(spark)
+    kept = exact_dedup.drop_exact_copies(docs, index)
+    index.drop()
+    return kept
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least id, any id before a null one; repeated rows are one group."""
     return simhash.drop_near_copies(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages cut out; those that are mostly benchmark go."""
+    """Documents with benchmark passages cut out; those that are mostly benchmark go. Null texts stay null."""
     return decontam.remove_contamination(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def tokenizer_samples(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Distinct sampled segmentations of every document that is left."""
+    """Distinct sampled segmentations of every document that is left; a null or empty text has one, of no piece."""
     return queries.segment_digests(segment.sample_segmentations(docs))
 
 
