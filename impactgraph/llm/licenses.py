@@ -41,6 +41,8 @@ BAND, COVERAGE = 4, 0.8
 #: Words of templates that one pass over the documents holds (about 60 bytes each in a broadcast); more make more passes.
 MAX_WORDS = 100_000
 HEADER, GRAM = -1, 3
+#: Grams that are handed on at a time, or those of one longer text.
+CHUNK = 300_000
 
 Template = tuple[str, list[bytes], bool]
 Span = tuple[int, int, int]
@@ -53,7 +55,7 @@ def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while at < len(text):
             parts, sizes, counts, lengths, start = [], [0], [], [], at
-            while at < len(text) and (not parts or sizes[-1] < 2_000_000):
+            while at < len(text) and (not parts or sizes[-1] < CHUNK):
                 words = words_of(text[at])
                 own = np.concatenate([np.array([HEADER], np.int64), gram_hashes(words, 2), gram_hashes(words, GRAM)])
                 parts.append(own)
