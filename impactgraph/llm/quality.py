@@ -172,19 +172,19 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes.append(pattern(votes(data, m, len(words))))
             ats.append(at)
             values.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["code", "at", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(codes, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["h", "code", "at", "value"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = MAX_FIT_ROWS) -> Scorer:
-    """Counts vote patterns over all documents; trains on about max_fit_rows rows (twice that at most), chosen by hash."""
+    """Counts vote patterns over all documents; trains on about max_fit_rows rows (twice that at most), chosen and put in order by hash."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = text.select("text").mapInArrow(_patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counted = sorted((r.code, r.n) for r in counted)
     prior, rates = estimate([c for c, _ in counted], [n for _, n in counted])
     total = sum(n for _, n in counted)
     every = max(1, -(-total // max_fit_rows))
-    chosen = text.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text")
-    sample = chosen.mapInArrow(_sampled, "code long, at array<int>, value array<float>").limit(2 * max_fit_rows).collect()
+    chosen = text.withColumn("h", F.xxhash64("id", "text")).where(F.pmod("h", F.lit(every)) == 0).select("h", "text")
+    sample = chosen.mapInArrow(_sampled, "h long, code long, at array<int>, value array<float>").orderBy("h").limit(2 * max_fit_rows).collect()
     table = np.array([unpack(r.code) for r in sample], int).reshape(-1, len(LABELLERS))
     label = posterior(prior, rates, table)
     order = sorted(range(len(sample)), key=lambda i: (sample[i].code, sample[i]["at"]))
@@ -226,7 +226,7 @@ def quality_scores(docs: DataFrame, model: Scorer | None = None, id_col: str = "
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that the classifier keeps, columns unchanged; nothing is shuffled."""
+    """The rows that the classifier keeps, columns unchanged; nothing is shuffled. Null and blank texts go, rows that repeat fare alike, an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col))
     whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     schema = f"row {whole.schema['row'].dataType.simpleString()}, score double, posterior double, votes array<int>"
