@@ -1,6 +1,6 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The automaton is built over normalised words on the driver and held in flat arrays, about 60 bytes
+The automaton is built over normalised words on the driver and held in flat arrays, about 145 bytes
 a word of test items. A benchmark of more than max_words words is cut into blocks of whole items;
 the documents pass through one automaton after the other and are written in between, so that a
 task never holds two. Documents are streamed; nothing of them is shuffled.

@@ -38,7 +38,7 @@ NOTICES = {
 }
 #: Neighbouring diagonals no further apart than this are one place; the least part of a template that must agree.
 BAND, COVERAGE = 4, 0.8
-#: Words of templates that one pass over the documents holds (about 60 bytes each in a broadcast); more make more passes.
+#: Words of templates that one pass over the documents holds; more make more passes.
 MAX_WORDS = 100_000
 HEADER, GRAM = -1, 3
 #: Grams that are handed on at a time, or those of one longer text.
