@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,14 +124,23 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def deal_groups(rows: DataFrame, item: str, chunk: int) -> DataFrame:
+def deal_groups(rows: DataFrame, item: str, chunk: int, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds (chunk, a, b) to rows(key, item, ...) and drops keys that one row has alone.
 
-    A key with more than chunk rows is dealt into m chunks by a hash of item; every row goes to
-    the m groups (key, a, b) that pair its chunk with each, so every pair of rows meets and no
-    group exceeds two chunks.
+    With split, rows of a key with more than chunk rows first get smaller keys from it; it returns
+    the columns of rows but those that only it needs. A key that still has more than chunk rows is
+    dealt into m chunks by a hash of item; every row goes to the m groups (key, a, b) that pair its
+    chunk with each, so every pair of rows meets and no group exceeds two chunks.
     """
     sizes = rows.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")
+    if split is not None:
+        sizes = materialize(sizes, "sizes")
+        finer = split(rows.join(sizes.where(F.col("__n") > chunk).select("key"), "key", "left_semi"))
+        rows = rows.select(*finer.columns)
+        if not sizes.where(F.col("__n") > chunk).isEmpty():
+            finer = materialize(finer, "finer")
+            rows = rows.unionByName(finer)
+            sizes = sizes.where(F.col("__n") <= chunk).unionByName(finer.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"))
     met = rows.join(sizes, "key").withColumn("__m", F.ceil(F.col("__n") / chunk).cast("int"))
     met = met.withColumn("chunk", F.pmod(F.xxhash64(item), F.col("__m")).cast("int"))
     met = met.withColumn("__with", F.explode(F.sequence(F.lit(0), F.col("__m") - 1)))

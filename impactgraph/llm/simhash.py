@@ -148,15 +148,38 @@ def block_keys(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - radius)]
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """(src, dst) links between distinct fingerprints (column fp) that connect the same as all links within radius.
+def smaller_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """mask with each of radius + 1 parts of the bits that it leaves out."""
+    left = [i for i in range(64) if not mask >> i & 1]
+    edges = [round(len(left) * k / (radius + 1)) for k in range(radius + 2)]
+    return [mask | sum(1 << i for i in left[a:b]) for a, b in zip(edges, edges[1:])]
+
 
-    A bucket of more than chunk fingerprints is dealt out: its rows get m chunks by hash, and each
-    pair of chunks is a group of its own, so no task takes a whole hot bucket.
+def bucket_groups(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """(key, fp, chunk, a, b): the groups in which any two fingerprints (column fp) within radius meet.
+
+    Fingerprints of a bucket that differ in radius bits at most agree in one of radius + 1 parts of
+    the bits that name no bucket. So one of more than chunk fingerprints is split by each part, at
+    radius + 1 rows for a fingerprint; only what then still exceeds chunk, with some 36 bits alike,
+    gets m chunks by hash, and each pair of chunks is a group of its own. No task takes a whole hot
+    bucket.
     """
-    tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(map(signed, block_keys(radius, blocks)))])
-    dealt = distinct.select("fp", F.explode(tables).alias("key"))
-    return deal_groups(dealt, "fp", chunk).mapInArrow(_bucket_links(radius), "src long, dst long")
+    masks = block_keys(radius, blocks)
+    tables = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(map(signed, masks))])
+    dealt = distinct.select("fp", F.posexplode(tables).alias("k", "key"))
+
+    def split(rows: DataFrame) -> DataFrame:
+        finer = zip(*[map(signed, smaller_masks(m, radius)) for m in masks])
+        of_table = [F.get(F.array(*map(F.lit, part)), F.col("k")) for part in finer]
+        keys = F.array(*[F.xxhash64("k", F.lit(j), F.col("fp").bitwiseAND(m)) for j, m in enumerate(of_table)])
+        return rows.select("fp", F.explode(keys).alias("key"))
+
+    return deal_groups(dealt, "fp", chunk, split)
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+    """(src, dst) links between distinct fingerprints (column fp) that connect the same as all links within radius."""
+    return bucket_groups(distinct, radius, blocks, chunk).mapInArrow(_bucket_links(radius), "src long, dst long")
 
 
 def near_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -192,6 +192,28 @@ def test_lanes_within_any_radius():
         assert lanes == sum(1 << i for i, x in enumerate(fps) if bin(int(x) ^ int(fps[7])).count("1") <= radius)
 
 
+@pytest.mark.parametrize("radius,blocks", [(3, 5), (3, 4), (1, 3)])
+def test_hot_buckets_are_split_without_losing_links(spark, radius, blocks):
+    r = random.Random(9)
+    common = r.getrandbits(64)
+    fixed = simhash.block_keys(radius, blocks)[0]
+    fps = {common & fixed | r.getrandbits(64) & ~fixed for _ in range(500)}
+    for x in sorted(fps)[:60]:
+        fps |= {x ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, radius + 2))) for _ in range(3)}
+    fps |= {r.getrandbits(64) for _ in range(100)}
+    table = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in sorted(fps)], "fp long")
+    want = slow_components(fps, [(a, b) for a, b in itertools.combinations(sorted(fps), 2) if bin(a ^ b).count("1") <= radius])
+    links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(table, radius, blocks, chunk=16).collect()]
+    assert slow_components(fps, links) == want
+    assert all(bin(a ^ b).count("1") <= radius for a, b in links)
+    if radius == 3 and blocks == 5:
+        dealt = simhash.bucket_groups(table, radius, blocks, chunk=16).groupBy("key", "a", "b").count().collect()
+        assert sum(x["count"] for x in dealt) < 12 * len(fps) and max(x["count"] for x in dealt) <= 64
+    for mask in simhash.block_keys(radius, blocks):
+        finer = simhash.smaller_masks(mask, radius)
+        assert all(m & mask == mask for m in finer) and sum(bin(m ^ mask).count("1") for m in finer) == 64 - bin(mask).count("1")
+
+
 def test_near_copies_leave_one_of_each_group(spark, odd, none):
     near, far = prose(5, 400), prose(6, 400)
     given = [(3, near), (7, near), (7, far), (None, near), (None, "lonely words stay here"), (9, near), (9, near), (2, None), (2, ""), (None, None), (8, near.upper()), (8, far + " x")]
