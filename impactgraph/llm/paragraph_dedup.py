@@ -25,7 +25,7 @@ from .common import columns_as_bytes, deal_groups, gram_hashes, materialize, mix
 from .components import connected_components
 from .decontam import merged
 
-SHINGLE, SIMILARITY, RECALL, MAX_BANDS = 5, 0.8, 0.98, 6
+SHINGLE, SIMILARITY, RECALL, MAX_BANDS = 5, 0.8, 0.995, 8
 MIN_WORDS, SPREAD = 25, 25
 CHUNK = 2048
 DOCUMENT, PARAGRAPH, WINDOW, EXTENSION, SHORT = 0, 1, 2, 3, 4
@@ -42,7 +42,10 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, max_bands
 
 
 def band_keys(grams: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """MinHash band keys [segment, band] of the segments of grams that begin at starts."""
+    """MinHash band keys [segment, band] of the segments of grams that begin at starts.
+
+    The grams are mixed hashes already, so an odd factor for each row orders them anew.
+    """
     keys = np.zeros((len(starts), bands), np.uint64)
     own = grams.view(np.uint64)
     with np.errstate(over="ignore"):
@@ -50,7 +53,7 @@ def band_keys(grams: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> n
             key = np.full(len(starts), band + 1, np.uint64)
             for row in range(rows):
                 salt = np.uint64(xxhash.xxh64_intdigest(b"%d:%d" % (band, row)) | 1)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(own * salt), starts))
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(own * salt, starts))
             keys[:, band] = key
     return keys.view(np.int64)
 

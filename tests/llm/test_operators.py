@@ -422,7 +422,20 @@ def test_jaccard_forest_connects_as_all_pairs_do():
     crossing = [(i, j) for i, j in pairs if side[i] != side[j]]
     assert slow_components(range(len(sets)), paragraph_dedup.jaccard_forest(sets, side, 0.8)) == slow_components(range(len(sets)), crossing)
     bands, per = paragraph_dedup.tune_bands()
-    assert bands <= paragraph_dedup.MAX_BANDS and 1 - (1 - 0.8**per) ** bands >= 0.98
+    assert bands <= paragraph_dedup.MAX_BANDS and 1 - (1 - 0.8**per) ** bands >= 0.995
+
+
+def test_bands_find_paragraphs_at_the_threshold():
+    r = random.Random(8)
+    bands, per = paragraph_dedup.tune_bands()
+    met = 0
+    for _ in range(3000):
+        a = [b"%d" % r.randrange(3000) for _ in range(49)]
+        b = [*a[:20], b"changed", *a[21:]]  # 40 of 50 shingles alike
+        grams = [paragraph_dedup.gram_hashes(x, 5) for x in (a, b)]
+        keys = paragraph_dedup.band_keys(np.concatenate(grams), np.array([0, len(grams[0])]), bands, per)
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.99 * 3000
 
 
 def test_any_shared_run_holds_a_common_anchor():
