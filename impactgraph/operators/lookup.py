@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import prefixes
+from ..functions.names import last_part, prefixes
 
 
 def longest_prefix(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
@@ -22,6 +22,16 @@ def first_rule(candidates: DataFrame, site: list[str]) -> DataFrame:
     return candidates.withColumn("__r", F.rank().over(w)).where("__r = 1 and target is not null").drop("__r")
 
 
+def bare_keys(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(name, key) of names(name) and all of keys(key), as file:function, whose function's last dotted part is the name.
+
+    Keys without a colon have no such name; names that no key has give no row. One row a match, so
+    a name that many keys have is not gathered.
+    """
+    told = keys.where(F.col("key").contains(":")).select(last_part(F.substring_index("key", ":", -1)).alias("name"), "key").distinct()
+    return told.join(names.select("name").distinct(), "name", "left_semi").select("name", "key")
+
+
 def capped(matches: DataFrame, site: list[str], cap: int = 8) -> DataFrame:
     """Matches of sites that have at most cap of them."""
     w = Window.partitionBy(*site)

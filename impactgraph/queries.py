@@ -249,6 +249,16 @@ def name_fallback_cap(spark, d):
     return lookup.capped(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"])
 
 
+@query("""WITH k AS (SELECT CASE WHEN p_partkey % 11 = 0 THEN p_name ELSE 'm' || p_size || '/part.py:' || replace(p_name, ' ', '.') END AS key FROM part),
+    n AS (SELECT DISTINCT regexp_extract(p_name, '[^ ]*$') AS name FROM part WHERE p_size % 2 = 0 UNION SELECT n_name FROM nation)
+    SELECT DISTINCT name, key FROM k JOIN n ON position(':' IN key) > 0 AND name = regexp_extract(regexp_extract(key, '[^:]*$'), '[^.]*$')""")
+def bare_name_keys(spark, d):
+    part = t(spark, d, "part")
+    key = F.when(F.col("p_partkey") % 11 == 0, F.col("p_name")).otherwise(F.concat(F.lit("m"), F.col("p_size"), F.lit("/part.py:"), F.translate("p_name", " ", ".")))
+    last = part.where("p_size % 2 = 0").select(F.substring_index("p_name", " ", -1).alias("name"))
+    return lookup.bare_keys(last.unionByName(t(spark, d, "nation").select(F.col("n_name").alias("name"))), part.select(key.alias("key")))
+
+
 @query("""WITH s AS (SELECT p_partkey, p_brand, p_size FROM part),
     c AS (SELECT p_partkey, 1 AS prio, n_name AS target FROM s JOIN nation ON n_nationkey = p_size
     UNION ALL SELECT p_partkey, 2, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_brand END FROM s WHERE p_size > 40

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from impactgraph.operators import search
+from impactgraph.operators import lookup, search
 from impactgraph.plans import engine
 
 
@@ -168,3 +168,11 @@ def test_names_of_calls():
     kinds = [c if not c.startswith("dynamic:") else c.split(":")[1] for c in calls]
     assert kinds == ["save", "make", "join", "load", "super.go", "super", "runtime_dispatch", "import_module", "lambda", "partial"]
     assert python_source.parse("m.py", "__all__ = ['a', b]\n", "m", False)[3] is None
+
+
+def test_bare_names_find_keys_of_files(spark):
+    keys = spark.createDataFrame([("utils/dates.py:Clock.now",), ("app/time.py:now",), ("app/time.py:now",), ("now",), ("a:b/c.py:later",), ("app/time.py:nower",), (None,)], "key string")
+    names = spark.createDataFrame([("now",), ("now",), ("later",), ("missing",), (None,)], "name string")
+    found = sorted(map(tuple, lookup.bare_keys(names, keys).collect()))
+    assert found == [("later", "a:b/c.py:later"), ("now", "app/time.py:now"), ("now", "utils/dates.py:Clock.now")]
+    assert lookup.bare_keys(names, keys.limit(0)).isEmpty()
