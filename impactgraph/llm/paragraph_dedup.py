@@ -98,9 +98,10 @@ def _units(bands: int, rows: int):
                 words = low.split()
                 grams = gram_hashes(words, SHINGLE)
                 at, starts, sizes = 0, [], []
-                units = [(DOCUMENT, 0, len(words), 0, None)]
+                units, lines = [], 0
                 for line in low.split(b"\n"):
                     n = len(line.split())
+                    lines += n > 0
                     if n >= SHINGLE:
                         starts.append(at)
                         sizes.append(n)
@@ -116,6 +117,7 @@ def _units(bands: int, rows: int):
                     width = MIN_WORDS - SHINGLE + 1
                     first = grams[: len(words) - MIN_WORDS + 1]
                     units += [(WINDOW, a, MIN_WORDS, xxhash.xxh3_64_intdigest(grams[a : a + width].tobytes()), None) for a in anchors(first, SPREAD).tolist()]
+                units.append((DOCUMENT, lines, len(words), 0, None))
                 mark = signed(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64
                 out[0].append(mark)
                 out[1].append([u[0] for u in units])
@@ -130,7 +132,10 @@ def _units(bands: int, rows: int):
 
 
 def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, kind, start, size, content, bands): each document's header, paragraphs, short lines and windows."""
+    """(id, mark, kind, start, size, content, bands): each document's header, paragraphs, short lines and windows.
+
+    The start of a header is the number of lines that hold words.
+    """
     bands, rows = tune_bands()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, mark long, kind array<int>, start array<int>, size array<int>, content array<struct<content:long,bands:array<long>>>"
@@ -239,10 +244,10 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.withColumn("n", F.when(F.col("first").eqNullSafe(F.col("last")), 1).otherwise(2)).drop("last")  # rows that repeat are one place
     classes = materialize(classes, "passages")
     paragraphs = classes.where(F.col("kind") == PARAGRAPH)
-    keyed = paragraphs.select("content", "first", F.explode("bands").alias("key"))
+    keyed = paragraphs.select("content", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = materialize(keyed.join(crowded, "key"), "met")
-    wanted = met.select("content", "first").distinct()
+    wanted = paragraphs.select("content", "first").join(met.select("content").distinct(), "content")
     common = classes.where((F.col("kind") == WINDOW) & (F.col("n") > 1)).select("content", F.col("first").alias("stays"))
     own_place = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("mark") == F.col("stays.mark")) & (F.col("start") == F.col("stays.start"))
     seen = own.where(F.col("kind") == WINDOW).select("id", "mark", "start", "content").join(common, "content")
@@ -263,18 +268,18 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beyond = beyond.select("id", "mark", F.struct("start", F.lit(MIN_WORDS).alias("size"), F.lit(EXTENSION).alias("kind"), F.lit(True).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     dealt = deal_groups(met.select("key", "content").join(sets, "content"), "content", CHUNK)
     linked = connected_components(dealt.mapInArrow(_verified(similarity), "src long, dst long"))
-    rooted = classes.join(linked.withColumn("of", F.lit(PARAGRAPH)), (F.col("content") == F.col("node")) & (F.col("kind") == F.col("of")), "left")
-    rooted = materialize(rooted.select("kind", "content", "n", "first", F.coalesce("component", "content").alias("root")), "rooted")
-    whole = rooted.groupBy("kind", "root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1")
-    known = materialize(rooted.join(whole, ["kind", "root"]).select("kind", "content", "stays"), "repeated")
+    rooted = paragraphs.join(linked, F.col("content") == F.col("node")).select("kind", "content", "n", "first", F.col("component").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    whole = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1").drop("total")
+    known = rooted.join(whole, "root").select("kind", "content", "stays")
+    alone = classes.where("n > 1").join(rooted.select("kind", "content"), ["kind", "content"], "left_anti")
+    known = materialize(known.unionByName(alone.select("kind", "content", F.col("first").alias("stays"))), "repeated")
     hits = own.select("id", "mark", "kind", "start", "size", "content").join(known, ["kind", "content"])
     hits = hits.select("id", "mark", F.struct("start", "size", "kind", ((F.col("kind") != SHORT) & ~own_place).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     found = hits.unionByName(beyond).groupBy("id", "mark").agg(F.collect_set("hit").alias("found"))
-    heads = units.groupBy("id", "mark").agg(
-        F.max(F.when(F.col("kind") == DOCUMENT, F.col("size"))).cast("long").alias("n_words"),
-        F.count_distinct(F.when(F.col("kind").isin(PARAGRAPH, SHORT), F.col("start"))).alias("n_paragraphs"),
-        F.count_if(F.col("kind") == DOCUMENT).cast("int").alias("copies"),
-    )
+    heads = units.where(F.col("kind") == DOCUMENT).groupBy("id", "mark").agg(
+        F.max("size").cast("long").alias("n_words"), F.max("start").cast("long").alias("n_paragraphs"), F.count("*").cast("int").alias("copies")
+    )
     right = found.select(F.col("id").alias("own"), F.col("mark").alias("own_mark"), "found")
     told = heads.join(right, F.col("id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark")), "left")
     told = told.withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
