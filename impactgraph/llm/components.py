@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "large")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialize(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        old, stars = stars, materialize(moved.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(old, large)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     named = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))

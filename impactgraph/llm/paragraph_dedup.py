@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_as_bytes, deal_groups, gram_hashes, materialize, mix, runs, signed
+from .common import columns_as_bytes, deal_groups, discard, gram_hashes, materialize, mix, runs, signed
 from .components import connected_components
 from .decontam import merged
 
@@ -266,14 +266,17 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = beyond.groupBy("content").agg(F.min(spot).alias("stays"), F.max(spot).alias("last")).where("not stays <=> last").drop("last")
     beyond = beyond.join(kept, "content").where(~own_place)
     beyond = beyond.select("id", "mark", F.struct("start", F.lit(MIN_WORDS).alias("size"), F.lit(EXTENSION).alias("kind"), F.lit(True).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
+    beyond = materialize(beyond, "extensions")
     dealt = deal_groups(met.select("key", "content").join(sets, "content"), "content", CHUNK)
     linked = connected_components(dealt.mapInArrow(_verified(similarity), "src long, dst long"))
     rooted = paragraphs.join(linked, F.col("content") == F.col("node")).select("kind", "content", "n", "first", F.col("component").alias("root"))
     rooted = materialize(rooted, "rooted")
+    discard(again, met)
     whole = rooted.groupBy("root").agg(F.sum("n").alias("total"), F.min("first").alias("stays")).where("total > 1").drop("total")
     known = rooted.join(whole, "root").select("kind", "content", "stays")
     alone = classes.where("n > 1").join(rooted.select("kind", "content"), ["kind", "content"], "left_anti")
     known = materialize(known.unionByName(alone.select("kind", "content", F.col("first").alias("stays"))), "repeated")
+    discard(classes, rooted)
     hits = own.select("id", "mark", "kind", "start", "size", "content").join(known, ["kind", "content"])
     hits = hits.select("id", "mark", F.struct("start", "size", "kind", ((F.col("kind") != SHORT) & ~own_place).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     found = hits.unionByName(beyond).groupBy("id", "mark").agg(F.collect_set("hit").alias("found"))
