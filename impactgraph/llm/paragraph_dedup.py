@@ -17,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_as_bytes, deal_groups, discard, gram_hashes, materialize, mix, runs, signed
 from .components import connected_components
-from .decontam import merged
 
 SHINGLE, SIMILARITY, RECALL, MAX_BANDS = 5, 0.8, 0.995, 8
 MIN_WORDS, SPREAD = 25, 25
 CHUNK = 2048
+#: Words of consecutive texts that are hashed together; a longer text is hashed alone.
+BLOCK_WORDS = 200_000
 DOCUMENT, PARAGRAPH, WINDOW, EXTENSION, SHORT = 0, 1, 2, 3, 4
 
 
@@ -68,65 +70,102 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.argmin(seen, axis=1) + np.arange(len(seen)))
 
 
-def extension_starts(hits: list[dict], last: int) -> np.ndarray:
+def window_hashes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the windows of MIN_WORDS words at the given places, of the grams that lie in them end to end."""
+    h = np.full(len(at), MIN_WORDS, np.uint64)
+    for i in range(0, MIN_WORDS, SHINGLE):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + grams[at + i].view(np.uint64))
+    return h.view(np.int64)
+
+
+def extension_starts(start: np.ndarray, keeper: np.ndarray, place: np.ndarray, own: np.ndarray, last: int) -> np.ndarray:
     """Starts of the windows to be matched around a document's common windows, none beyond last.
 
-    hits are (start, keeper, place, own): where the common window stands, which document keeps it,
-    where it stands there, and whether that is this very place. Two neighbours that another
-    document keeps at the same distance cover their words as they do there, and that document has
+    For each common window: where it stands (start), which document keeps it, where it stands there
+    (place), and whether that is this very place (own). Two neighbours that another document keeps
+    at the same distance cover their words as they do there, and that document has
     the windows between them; a copy so gives only what lies beyond its outer common windows.
     """
-    wanted = np.zeros(last + 1, bool)
-    hits = sorted(hits, key=lambda x: x["start"])
-    for x in hits:
-        wanted[max(0, x["start"] - SPREAD + 1) : x["start"] + SPREAD] = True
-    for x in hits:
-        wanted[x["start"]] = x["own"]
-    for x, y in zip(hits, hits[1:]):
-        gap = y["start"] - x["start"]
-        if not x["own"] and not y["own"] and x["keeper"] == y["keeper"] and gap == y["place"] - x["place"] <= MIN_WORDS:
-            wanted[x["start"] : y["start"] + 1] = False
-    return np.flatnonzero(wanted)
+    order = np.argsort(start)
+    start, keeper, place, own = start[order], keeper[order], place[order], own[order]
+    depth = np.zeros(last + 2, np.int32)
+    np.add.at(depth, np.maximum(0, start - SPREAD + 1), 1)
+    np.add.at(depth, np.minimum(last + 1, start + SPREAD), -1)
+    wanted = np.cumsum(depth) > 0
+    wanted[start] = own
+    gap = np.diff(start)
+    alike = ~own[:-1] & ~own[1:] & (keeper[:-1] == keeper[1:]) & (gap == np.diff(place)) & (gap <= MIN_WORDS)
+    depth[:] = 0
+    np.add.at(depth, start[:-1][alike], 1)
+    np.add.at(depth, start[1:][alike] + 1, -1)
+    return np.flatnonzero((wanted & (np.cumsum(depth) == 0))[: last + 1])
+
+
+def listed(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(bounds, values): the lists of a column stand in values from bound to bound; null is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), column.flatten()
+
+
+def as_lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
 def _units(bands: int, rows: int):
+    names = ["id", "mark", "kind", "start", "size", "content", "bands"]
+
+    def told(ids: pa.Array, words: list[bytes], texts: list[tuple[int, int, list]]) -> Iterator[pa.RecordBatch]:
+        grams = gram_hashes(words, SHINGLE)  # those that go on into the next text are not used
+        marks = np.array([t[0] for t in texts], np.int64)
+        begin = np.array([t[1] for t in texts], np.int64)
+        n_words = np.diff(np.append(begin, len(words)))
+        n_lines = np.array([len(t[2]) for t in texts], np.int64)
+        start, size = np.array([x for t in texts for x in t[2]], np.int64).reshape(-1, 2).T
+        owner = np.repeat(np.arange(len(texts)), n_lines)
+        at = begin[owner] + start
+
+        def batch(kind: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, content: np.ndarray, bands: pa.Array) -> pa.RecordBatch:
+            narrow = (pa.array(x, pa.int32()) for x in (kind, start, size))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(marks[owner]), *narrow, pa.array(content, pa.int64()), bands], names)
+
+        long = size >= SHINGLE
+        if long.any():
+            n = size[long] - SHINGLE + 1
+            first = np.cumsum(n) - n
+            inside = grams[np.repeat(at[long] - first, n) + np.arange(n.sum())]
+            content = np.array([xxhash.xxh3_64_intdigest(inside[a : a + m].tobytes()) for a, m in zip(first.tolist(), n.tolist())], np.uint64).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(band_keys(inside, first, bands, rows).ravel()))
+            yield batch(np.full(len(n), PARAGRAPH), owner[long], start[long], size[long], content, keys)
+        short = ~long
+        lines = [xxhash.xxh3_64_intdigest(b" ".join(words[a : a + m])) for a, m in zip(at[short].tolist(), size[short].tolist())]
+        wide = np.flatnonzero(n_words >= MIN_WORDS)
+        found = [anchors(grams[b : b + n - MIN_WORDS + 1], SPREAD) for b, n in zip(begin[wide].tolist(), n_words[wide].tolist())]
+        window = np.concatenate([np.zeros(0, np.int64), *found])
+        of = np.repeat(wide, [len(x) for x in found])
+        parts = (
+            (DOCUMENT, np.arange(len(texts)), n_lines, n_words, np.zeros(len(texts), np.int64)),
+            (SHORT, owner[short], start[short], size[short], np.array(lines, np.uint64).view(np.int64)),
+            (WINDOW, of, window, np.full(len(window), MIN_WORDS), window_hashes(grams, begin[of] + window)),
+        )
+        kind = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        yield batch(kind, *(np.concatenate([p[i] for p in parts]) for i in range(1, 5)), pa.nulls(len(kind), pa.list_(pa.int64())))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            ids, done, words, texts = batch.column("id"), 0, [], []
             for data in columns_as_bytes(batch, "text"):
-                low = data.lower()
-                words = low.split()
-                grams = gram_hashes(words, SHINGLE)
-                at, starts, sizes = 0, [], []
-                units, lines = [], 0
-                for line in low.split(b"\n"):
-                    n = len(line.split())
-                    lines += n > 0
-                    if n >= SHINGLE:
-                        starts.append(at)
-                        sizes.append(n)
-                    elif n:
-                        units.append((SHORT, at, n, xxhash.xxh3_64_intdigest(b" ".join(words[at : at + n])), None))
-                    at += n
-                if starts:
-                    parts = [grams[a : a + n - SHINGLE + 1] for a, n in zip(starts, sizes)]
-                    begin = np.cumsum([0, *map(len, parts)])[:-1]
-                    keys = band_keys(np.concatenate(parts), begin, bands, rows)
-                    units += [(PARAGRAPH, a, n, xxhash.xxh3_64_intdigest(p.tobytes()), k) for a, n, p, k in zip(starts, sizes, parts, keys)]
-                if len(words) >= MIN_WORDS:
-                    width = MIN_WORDS - SHINGLE + 1
-                    first = grams[: len(words) - MIN_WORDS + 1]
-                    units += [(WINDOW, a, MIN_WORDS, xxhash.xxh3_64_intdigest(grams[a : a + width].tobytes()), None) for a in anchors(first, SPREAD).tolist()]
-                units.append((DOCUMENT, lines, len(words), 0, None))
-                mark = signed(xxhash.xxh64_intdigest(data, 42))  # as Spark's xxhash64
-                out[0].append(mark)
-                out[1].append([u[0] for u in units])
-                out[2].append([u[1] for u in units])
-                out[3].append([u[2] for u in units])
-                out[4].append([{"content": signed(u[3]), "bands": None if u[4] is None else u[4].tolist()} for u in units])
-            content = pa.list_(pa.struct([("content", pa.int64()), ("bands", pa.list_(pa.int64()))]))
-            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), content)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(out, kinds))], ["id", "mark", "kind", "start", "size", "content"])
+                begin, lines = len(words), []
+                for line in data.lower().split(b"\n"):
+                    if own := line.split():
+                        lines.append((len(words) - begin, len(own)))
+                        words += own
+                texts.append((signed(xxhash.xxh64_intdigest(data, 42)), begin, lines))  # as Spark's xxhash64
+                if len(words) >= BLOCK_WORDS:
+                    yield from told(ids.slice(done, len(texts)), words, texts)
+                    done, words, texts = done + len(texts), [], []
+            if texts:
+                yield from told(ids.slice(done), words, texts)
 
     return run
 
@@ -138,36 +177,35 @@ def text_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     bands, rows = tune_bands()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, mark long, kind array<int>, start array<int>, size array<int>, content array<struct<content:long,bands:array<long>>>"
-    lists = given.mapInArrow(_units(bands, rows), schema)
-    each = lists.select("id", "mark", F.inline(F.arrays_zip("kind", "start", "size", "content")))
-    return each.select("id", "mark", "kind", "start", "size", "content.content", "content.bands")
+    return given.mapInArrow(_units(bands, rows), f"id {docs.schema[id_col].dataType.simpleString()}, mark long, kind int, start int, size int, content long, bands array<long>")
 
 
 def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text one row (start, window) with the windows around its common ones, and one (content, shingles) for each paragraph."""
-    width = MIN_WORDS - SHINGLE + 1
+    names = ["id", "mark", "start", "window", "content", "shingles"]
     longs = pa.list_(pa.int64())
     for batch in batches:
-        row, starts, windows, content, sets = [], [], [], [], []
-        for k, (data, places, hits) in enumerate(zip(columns_as_bytes(batch, "text"), *(batch.column(c).to_pylist() for c in ("places", "hits")))):
+        hit_bounds, hits = listed(batch.column("hits"))
+        place_bounds, places = listed(batch.column("places"))
+        start, keeper, place, own = (hits.field(k).to_numpy(zero_copy_only=False) for k in ("start", "keeper", "place", "own"))
+        begin, size, content = (places.field(k).to_numpy(zero_copy_only=False) for k in ("start", "size", "content"))
+        row, starts, windows, sets = [], [], [], []
+        for k, data in enumerate(columns_as_bytes(batch, "text")):
             grams = gram_hashes(data.lower().split(), SHINGLE)
-            if hits:
-                at = extension_starts(hits, len(grams) - width)
-                row.append(k)
-                starts.append(at.tolist())
-                windows.append([signed(xxhash.xxh3_64_intdigest(grams[a : a + width].tobytes())) for a in at.tolist()])
-                content.append(None)
-                sets.append(None)
-            for p in places:
+            a, b = hit_bounds[k : k + 2]
+            if a < b:
+                at = extension_starts(start[a:b], keeper[a:b], place[a:b], own[a:b], len(grams) - (MIN_WORDS - SHINGLE + 1))
                 row.append(k)
-                starts.append(None)
-                windows.append(None)
-                content.append(p["content"])
-                sets.append(np.unique(grams[p["start"] : p["start"] + p["size"] - SHINGLE + 1]).tolist())
-        at = pa.array(row, pa.int64())
-        columns = [batch.column("id").take(at), batch.column("mark").take(at), pa.array(starts, pa.list_(pa.int32())), pa.array(windows, longs), pa.array(content, pa.int64()), pa.array(sets, longs)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "start", "window", "content", "shingles"])
+                starts.append(at)
+                windows.append(window_hashes(grams, at))
+            a, b = place_bounds[k : k + 2]
+            sets += [np.unique(grams[x : x + n - SHINGLE + 1]) for x, n in zip(begin[a:b].tolist(), size[a:b].tolist())]
+        for of, columns in (
+            (np.array(row, np.int64), [as_lists(starts, pa.int32()), as_lists(windows, pa.int64()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), longs)]),
+            (np.repeat(np.arange(batch.num_rows), np.diff(place_bounds)), [pa.nulls(len(sets), pa.list_(pa.int32())), pa.nulls(len(sets), longs), pa.array(content, pa.int64()), as_lists(sets, pa.int64())]),
+        ):
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("mark").take(at), *columns], names)
 
 
 def jaccard_forest(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
@@ -204,7 +242,8 @@ def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "a", "b"]):
             names = group["content"].to_numpy()
-            sets = [np.array(x, np.int64) for x in group["shingles"].to_pylist()]
+            bounds, shingles = listed(group["shingles"].combine_chunks())
+            sets = np.split(shingles.to_numpy(), bounds[1:-1])
             side = None if group["a"][0].as_py() == group["b"][0].as_py() else group["chunk"].to_numpy() == group["a"][0].as_py()
             links = jaccard_forest(sets, side, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([int(names[i]) for i, _ in links], pa.int64()), pa.array([int(names[j]) for _, j in links], pa.int64())], ["src", "dst"])
@@ -212,16 +251,32 @@ def _verified(similarity: float):
     return run
 
 
+def merged_runs(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the runs that the given ones make together, row by row; runs that touch are one."""
+    if not len(row):
+        return row, start, stop
+    apart = row * (int(stop.max()) + 1)
+    order = np.argsort(start + apart, kind="stable")
+    row, start, apart = row[order], start[order], apart[order]
+    reach = np.maximum.accumulate(stop[order] + apart)
+    new = np.append(True, start[1:] + apart[1:] > reach[:-1])
+    ends = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], start[new], (reach - apart)[ends]
+
+
 def _outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, removed = [], []
-        for found in batch.column("found").to_pylist():
-            cut = merged([(x["start"], x["start"] + x["size"]) for x in found or () if x["removed"]])
-            spans.append([{"start": a, "stop": b} for a, b in cut])
-            removed.append(sum(b - a for a, b in cut))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        n = batch.num_rows
+        bounds, found = listed(batch.column("found"))
+        start, size, gone = (found.field(k).to_numpy(zero_copy_only=False) for k in ("start", "size", "removed"))
+        row = np.repeat(np.arange(n), np.diff(bounds))[gone]
+        row, begin, end = merged_runs(row, start[gone].astype(np.int64), (start + size)[gone].astype(np.int64))
+        removed = np.zeros(n, np.int64)
+        np.add.at(removed, row, end - begin)
+        runs_of = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+        spans = pa.ListArray.from_arrays(pa.array(runs_of, pa.int32()), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], ["start", "stop"]))
         names = [k for k in batch.schema.names if k != "found"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(removed, pa.int64()), pa.array(spans, kind)], [*names, "n_removed", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(removed), spans], [*names, "n_removed", "spans"])
 
 
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -264,9 +319,11 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beyond = again.where("content is null").select("id", "mark", F.inline(F.arrays_zip("start", F.col("window").alias("content"))))
     spot = F.struct("id", "mark", "start")
     kept = beyond.groupBy("content").agg(F.min(spot).alias("stays"), F.max(spot).alias("last")).where("not stays <=> last").drop("last")
+    kept = materialize(kept, "kept")  # a table: so a hot content can be split at the join
     beyond = beyond.join(kept, "content").where(~own_place)
     beyond = beyond.select("id", "mark", F.struct("start", F.lit(MIN_WORDS).alias("size"), F.lit(EXTENSION).alias("kind"), F.lit(True).alias("removed"), F.col("stays.id").alias("component")).alias("hit"))
     beyond = materialize(beyond, "extensions")
+    discard(kept)
     dealt = deal_groups(met.select("key", "content").join(sets, "content"), "content", CHUNK)
     linked = connected_components(dealt.mapInArrow(_verified(similarity), "src long, dst long"))
     rooted = paragraphs.join(linked, F.col("content") == F.col("node")).select("kind", "content", "n", "first", F.col("component").alias("root"))

@@ -403,7 +403,7 @@ def test_paragraph_clusters_match_brute_force(spark):
     got = rows_of(paragraph_dedup.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     for g in got:
         spans, ids, n = want[g["id"]]
-        assert [(s["start"], s["stop"]) for s in g["spans"]] == paragraph_dedup.merged(spans)
+        assert [(s["start"], s["stop"]) for s in g["spans"]] == decontam.merged(spans)
         assert set(g["component_ids"]) == ids and g["n_repeated"] == n
 
 
@@ -425,6 +425,34 @@ def test_jaccard_forest_connects_as_all_pairs_do():
     assert bands <= paragraph_dedup.MAX_BANDS and 1 - (1 - 0.8**per) ** bands >= 0.995
 
 
+def test_runs_and_extensions_match_plain_versions():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 30):
+        row = rng.integers(0, 4, n)
+        start = rng.integers(0, 40, n)
+        stop = start + rng.integers(1, 9, n)
+        got = paragraph_dedup.merged_runs(row, start, stop)
+        want = [(r, a, b) for r in range(4) for a, b in decontam.merged([(int(x), int(y)) for x, y, k in zip(start, stop, row) if k == r])]
+        assert list(zip(*(x.tolist() for x in got))) == want
+    spread, width = paragraph_dedup.SPREAD, paragraph_dedup.MIN_WORDS
+    for n in (1, 2, 6, 12):
+        last = int(rng.integers(60, 200))
+        start = rng.permutation(last + 1)[:n]
+        keeper, own = rng.integers(0, 2, n), rng.random(n) < 0.3
+        place = start + 7 * rng.integers(0, 2, n)
+        rows = sorted(zip(start.tolist(), keeper.tolist(), place.tolist(), own.tolist()))
+        want = {p for a, *_ in rows for p in range(max(0, a - spread + 1), min(last + 1, a + spread))}
+        want -= {a for a, *_, mine in rows if not mine}
+        for (a, k, p, mine), (b, l, q, other) in zip(rows, rows[1:]):
+            if not mine and not other and k == l and b - a == q - p <= width:
+                want -= set(range(a, b + 1))
+        assert paragraph_dedup.extension_starts(start, keeper, place, own, last).tolist() == sorted(want)
+    grams = rng.integers(-(2**62), 2**62, 90)
+    grams[50:80] = grams[10:40]
+    hashes = paragraph_dedup.window_hashes(grams, np.arange(70))
+    assert hashes[10:20].tolist() == hashes[50:60].tolist() and len(set(hashes.tolist())) == 60
+
+
 def test_bands_find_paragraphs_at_the_threshold():
     r = random.Random(8)
     bands, per = paragraph_dedup.tune_bands()
