@@ -43,9 +43,9 @@ def certainty() -> Column:
     return F.when(F.col("l_returnflag") == "N", 1.0).when(F.col("l_returnflag") == "A", 0.90).otherwise(0.60)
 
 
-def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Order calls part, parallel edges kept."""
-    return t(spark, d, "lineitem").select(node_id("order", "l_orderkey").alias("src"), node_id("part", "l_partkey").alias("dst"), F.lit("CALLS").alias("relation"), certainty().alias("certainty"), (F.col("l_linestatus") == "O").alias("inheritance"), F.col("l_linenumber").alias("ord"))
+def call_edges(spark: SparkSession, d: str, *more: Column) -> DataFrame:
+    """Order calls part, parallel edges kept; more are further columns."""
+    return t(spark, d, "lineitem").select(node_id("order", "l_orderkey").alias("src"), node_id("part", "l_partkey").alias("dst"), F.lit("CALLS").alias("relation"), certainty().alias("certainty"), (F.col("l_linestatus") == "O").alias("inheritance"), F.col("l_linenumber").alias("ord"), *more)
 
 
 def reverse_links(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,10 @@ def longest_prefix_match(spark, d):
 
 @query(f"WITH {CALLS_SQL} SELECT src, dst, certainty FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS n FROM calls) WHERE n = 1")
 def calls_edges_dedup(spark, d):
-    return lookup.merge_best(call_edges(spark, d), ["src", "dst"], [F.col("ord")]).select("src", "dst", "certainty")
+    """Of calls with the same line number, which the SQL leaves open, the one that stands first in the table; without a number last."""
+    calls = call_edges(spark, d, F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    ranked = calls.select("src", "dst", "ord", "place", "certainty")  # columns count in this order
+    return lookup.merge_best(ranked, ["src", "dst"], [F.col("ord").isNull()]).select("src", "dst", "certainty")
 
 
 @query("""SELECT 'order:' || l_orderkey AS src, 'supplier:' || l_suppkey AS dst,
