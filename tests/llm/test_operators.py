@@ -543,6 +543,16 @@ def test_hot_grams_are_dealt_out_exactly(spark, odd, chunk):
     assert as_multiset(got) == as_multiset(slow_suffix_dedup(given))
 
 
+@pytest.mark.parametrize("size, gone", [(399, 0), (400, 400)])
+def test_planted_passages_of_over_50_words_go_from_400_bytes_on(spark, size, gone):
+    passage = "".join(c for c in prose(80, 90) if c.isascii())[:size]
+    assert len(passage.split()) > 50
+    given = [(i, f"{prose(90 + i, 60)}{i}{passage}{i}{prose(95 + i, 60)}") for i in range(5)] + [(5, prose(100, 150))]
+    got = [(r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows_of(suffix_dedup.suffix_dedup(spark.createDataFrame(given, "doc_id long, text string")))]
+    assert as_multiset(got) == as_multiset(slow_suffix_dedup(given))
+    assert {r[0]: r[2] for r in got} == {**dict.fromkeys(range(5), gone), 5: 0}
+
+
 # -- WARC
 
 
